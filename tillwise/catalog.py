@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +12,9 @@ from pyspark.sql.types import DecimalType
 
 from tillwise.functions.delivery import with_delivery_estimate
 from tillwise.functions.pricing import customer_tiers, with_product_discount, with_shipping_cost
-from tillwise.operators import recommend, reports, views
-from tillwise.session import tune
+from tillwise.operators import audit, prep, privacy, quality, recommend, reports, summaries, views
+from tillwise.session import scratch_path, tune
+from tillwise.sources import feeds
 from tillwise.sources.star import AS_OF, HISTORY_START, star_store
 from tillwise.store import Store
 
@@ -75,6 +78,111 @@ def _delivery_estimate(store: Store) -> DataFrame:
     return with_delivery_estimate(placed)
 
 
+BOUNDARIES = [datetime(1996, 1, 1), datetime(1997, 1, 1), datetime(1998, 7, 1),
+              datetime(2000, 1, 1), datetime(2001, 1, 1)]
+NAME = "Customer#000000007"
+
+
+def _table_counts(store: Store) -> DataFrame:
+    log = audit.order_audit_trail(
+        store.scan("sales_order"), feeds.orders_after(store), as_of=AS_OF)
+    return summaries.table_counts(store.replacing(audit_log=log))
+
+
+def _order_ranges(store: Store) -> DataFrame:
+    """Orders per date range, counted on the written table."""
+    orders = store.scan("sales_order", "OrderID", "OrderDate", "TotalAmount")
+    written = prep.partitioned_orders(
+        orders, BOUNDARIES, scratch_path(store.spark, "orders"))
+    return written.groupBy("OrderRange").agg(
+        F.count("*").alias("Orders"), F.sum("TotalAmount").alias("Total"),
+        F.min("OrderDate").alias("FirstDate"), F.max("OrderDate").alias("LastDate"),
+    )
+
+
+def _order_range_pruned(store: Store) -> DataFrame:
+    """Orders of one range, read from its folder only."""
+    orders = store.scan("sales_order", "OrderID", "OrderDate", "TotalAmount")
+    written = prep.partitioned_orders(
+        orders, BOUNDARIES, scratch_path(store.spark, "orders"))
+    return written.where(F.col("OrderRange") == 3).select("OrderID", "OrderDate", "TotalAmount")
+
+
+def _defaults(store: Store) -> DataFrame:
+    bare = store.scan("sales_order", "OrderID", "CustomerID", "PaymentStatus").withColumn(
+        "PaymentStatus",
+        F.when(F.col("PaymentStatus") != "Failed", F.col("PaymentStatus")))
+    filled = prep.apply_defaults(bare, "sales_order", as_of=AS_OF)
+    return prep.with_hash_key(filled, "RowKey", "OrderID", "CustomerID")
+
+
+def _sequence(store: Store) -> DataFrame:
+    orders = store.scan("sales_order", "OrderID", "OrderDate")
+    return prep.with_sequence_key(
+        orders, "SequenceID", [F.col("OrderDate"), F.col("OrderID")], after=1000)
+
+
+def _recomputed(store: Store) -> DataFrame:
+    after = feeds.details_after(store)
+    changed = store.replacing(order_detail=after, sales_order=feeds.untaxed_orders(store))
+    keys = store.scan("order_detail", "OrderID")
+    return quality.recompute_order_totals(changed, after, keys, as_of=AS_OF).select(
+        "OrderID", "SubTotal", "TaxAmount", "ShippingAmount", "DiscountAmount", "TotalAmount",
+        "ModifiedDate")
+
+
+def _ledger_check(store: Store) -> DataFrame:
+    """The faulty ledger against products holding their latest stock."""
+    moves = feeds.with_faults(store).scan("inventory_transaction")
+    closing = moves.groupBy("ProductID").agg(
+        F.max_by("NewStock", F.struct("TransactionDate", "TransactionID")).alias("StockQuantity"))
+    return audit.validate_inventory_ledger(moves, closing)
+
+
+def _defaults_kept(table: str, key: str, corrected: bool) -> Callable[[Store], DataFrame]:
+    def run(store: Store) -> DataFrame:
+        everyone, new = feeds.addresses_after(store, table, key)
+        return quality.enforce_default_address(everyone, new, key, corrected=corrected).select(
+            key, "CustomerID", "IsDefault")
+
+    return run
+
+
+def _protected(store: Store) -> DataFrame:
+    """Customers encrypted and read back; the key lives for one run."""
+    key = secrets.token_hex(16)
+    stored = privacy.protect_customer_pii(store.scan("customer"), key)
+    return privacy.reveal_customer_pii(stored, key).select(
+        "CustomerID", "Email", "PhoneNumber", "EmailHash")
+
+
+def _upserted(store: Store) -> DataFrame:
+    key = secrets.token_hex(16)
+    stored = privacy.protect_customer_pii(store.scan("customer"), key)
+    after = privacy.upsert_customers(stored, feeds.customer_changes(store), key, as_of=AS_OF)
+    return privacy.reveal_customer_pii(after, key).select(
+        "CustomerID", "CustomerName", "Email", "PhoneNumber", "EmailHash", "IsActive",
+        "ModifiedDate")
+
+
+def _alerts(part: str) -> Callable[[Store], DataFrame]:
+    def run(store: Store) -> DataFrame:
+        made = audit.stock_alerts(
+            store.scan("product"), feeds.products_after(store), as_of=AS_OF)[part]
+        return made.select("ProductID", "StockQuantity", "Price", "ModifiedDate") if (
+            part == "products") else made
+
+    return run
+
+
+def _repaired(part: str, *columns: str) -> Callable[[Store], DataFrame]:
+    def run(store: Store) -> DataFrame:
+        made = quality.fix_data_integrity(feeds.with_faults(store), as_of=AS_OF)[part]
+        return made.select(*columns) if columns else made
+
+    return run
+
+
 OPERATORS: dict[str, Callable[[Store], DataFrame]] = {
     "sales_report_summary": lambda s: reports.sales_report_summary(s, **ALL),
     "sales_report_summary_last_30_days": lambda s: reports.sales_report_summary(s, as_of=AS_OF),
@@ -98,6 +206,56 @@ OPERATORS: dict[str, Callable[[Store], DataFrame]] = {
     "product_discount": _product_discount,
     "delivery_estimate": _delivery_estimate,
     "product_recommendations": lambda s: recommend.product_recommendations(s, as_of=AS_OF),
+    "table_counts": _table_counts,
+    "orders_by_status": summaries.orders_by_status,
+    "products_by_category": summaries.products_by_category,
+    "low_stock_list": summaries.low_stock_list,
+    "update_last_login": lambda s: summaries.update_last_login(s, as_of=AS_OF).select(
+        "CustomerID", "CustomerName", "LastLoginDate"),
+    "apply_order_updates": lambda s: prep.apply_order_updates(
+        s.scan("sales_order"), feeds.order_updates(s)).select(
+        "OrderID", "OrderStatus", "PaymentStatus", "TrackingNumber", "ActualDeliveryDate"),
+    "history_by_customer_name": lambda s: summaries.history_by_customer_name(s, NAME),
+    "products_with_status":
+        lambda s: summaries.products_with_status(s, "Low Stock", as_of=AS_OF),
+    "recommendations_by_customer_name":
+        lambda s: summaries.recommendations_by_customer_name(s, NAME, as_of=AS_OF),
+    "computed_columns_category": lambda s: prep.with_category_level(
+        s.scan("category", "CategoryID", "ParentCategoryID")),
+    "computed_columns_product": lambda s: prep.with_low_stock_flag(
+        s.scan("product", "ProductID", "StockQuantity", "ReorderLevel")),
+    "computed_columns_order_detail": lambda s: prep.with_line_total(
+        s.scan("order_detail", "OrderDetailID", "Quantity", "UnitPrice", "DiscountAmount")),
+    "computed_columns_customer": lambda s: prep.with_email_hash(
+        s.scan("customer", "CustomerID", "Email")),
+    "partitioned_orders": _order_ranges,
+    "partitioned_orders_pruned": _order_range_pruned,
+    "apply_defaults": _defaults,
+    "sequence_keys": _sequence,
+    "order_audit_trail": lambda s: audit.order_audit_trail(
+        s.scan("sales_order"), feeds.orders_after(s), as_of=AS_OF),
+    "product_audit_trail": lambda s: audit.product_audit_trail(
+        s.scan("product"), feeds.products_after(s), as_of=AS_OF),
+    "stock_alerts": _alerts("alerts"),
+    "stock_alerts_products": _alerts("products"),
+    "stock_alerts_rejects": _alerts("rejects"),
+    "validate_inventory_ledger": _ledger_check,
+    "recompute_order_totals": _recomputed,
+    "enforce_default_address_shipping":
+        _defaults_kept("shipping_address", "ShippingAddressID", False),
+    "enforce_default_address_billing":
+        _defaults_kept("billing_address", "BillingAddressID", False),
+    "enforce_default_address_corrected":
+        _defaults_kept("shipping_address", "ShippingAddressID", True),
+    "protect_customer_pii": _protected,
+    "upsert_customers": _upserted,
+    "check_data_integrity": lambda s: quality.check_data_integrity(feeds.with_faults(s)),
+    "fix_data_integrity_orders": _repaired(
+        "orders", "OrderID", "SubTotal", "TotalAmount", "ModifiedDate"),
+    "fix_data_integrity_products": _repaired(
+        "products", "ProductID", "StockQuantity", "ModifiedDate"),
+    "fix_data_integrity_audit": _repaired("audit"),
+    "constraint_violations": lambda s: quality.constraint_violations(feeds.with_faults(s)),
 }
 
 

@@ -22,13 +22,16 @@ HOT_KEYS = 20_000
 
 
 def hot_keys(
-    df: DataFrame, keys: Sequence[str], *, hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], *, bound: DataFrame | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame | None:
     """Keys of ``df`` holding more rows than one task should take, or None.
 
-    At most ``HOT_KEYS`` rows, so the result is safe to broadcast.
+    ``bound`` is a table with at least as many rows that is cheaper to count,
+    such as a file scan. At most ``HOT_KEYS`` rows come back, so the result is
+    safe to broadcast.
     """
-    total = df.count()
+    total = (df if bound is None else bound).count()
     if total <= hot_rows:
         return None
     limit = max(hot_rows, total // HOT_KEYS)
@@ -119,6 +122,7 @@ def per_key(
     count: str | None = None,
     totals: dict[str, str] | None = None,
     probe: DataFrame | None = None,
+    bound: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add columns worked out along each key's rows in ``order``.
@@ -126,7 +130,8 @@ def per_key(
     ``rank`` numbers the rows from 1; ``before`` maps a new column to the value
     column summed over all earlier rows; ``count`` and ``totals`` cover the
     whole key. ``order`` must be total. ``probe`` is a cheaper frame with the
-    same keys and at least as many rows of each, used to look for hot keys.
+    same keys and at least as many rows of each, used to look for hot keys;
+    ``bound`` is one still cheaper to count, with at least its number of rows.
     """
     before, totals = before or {}, totals or {}
     by_key = Window.partitionBy(*keys)
@@ -145,7 +150,7 @@ def per_key(
             out.append(F.sum(value).over(by_key).alias(name))
         return rows.select(*out)
 
-    hot = hot_keys(df if probe is None else probe, keys, hot_rows=hot_rows)
+    hot = hot_keys(df if probe is None else probe, keys, bound=bound, hot_rows=hot_rows)
     if hot is None:
         return plain(df)
     marked = F.broadcast(hot)
