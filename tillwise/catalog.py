@@ -12,7 +12,19 @@ from pyspark.sql.types import DecimalType
 
 from tillwise.functions.delivery import with_delivery_estimate
 from tillwise.functions.pricing import customer_tiers, with_product_discount, with_shipping_cost
-from tillwise.operators import audit, prep, privacy, quality, recommend, reports, summaries, views
+from tillwise.operators import (
+    audit,
+    inventory,
+    orders,
+    prep,
+    privacy,
+    quality,
+    recommend,
+    reports,
+    returns,
+    summaries,
+    views,
+)
 from tillwise.session import scratch_path, tune
 from tillwise.sources import feeds
 from tillwise.sources.star import AS_OF, HISTORY_START, star_store
@@ -183,6 +195,65 @@ def _repaired(part: str, *columns: str) -> Callable[[Store], DataFrame]:
     return run
 
 
+def _validated_orders(store: Store) -> DataFrame:
+    return orders.validate_orders(feeds.roomy(store), feeds.order_requests(store))
+
+
+def _priced(store: Store) -> DataFrame:
+    requests = feeds.order_requests(store)
+    items = orders.parse_order_items(requests, product_type="bigint").where("IsValid")
+    return orders.price_orders(requests, items)
+
+
+def _allocated(part: str) -> Callable[[Store], DataFrame]:
+    def run(store: Store) -> DataFrame:
+        lines = store.scan("order_detail", "OrderID", "ProductID", "Quantity").join(
+            store.scan("sales_order", "OrderID", "OrderDate"), "OrderID")
+        return orders.allocate_orders(feeds.roomy(store), lines)[part]
+
+    return run
+
+
+def _processed(store: Store) -> DataFrame:
+    """Every request with its total or what was wrong with it."""
+    made = orders.process_orders(feeds.roomy(store), feeds.order_requests(store), as_of=AS_OF)
+    taken = made["orders"].select(
+        "OrderID", "OrderStatus", "TotalAmount", F.lit(None).cast("string").alias("ErrorMessage"))
+    return taken.unionByName(made["rejects"].select(
+        "OrderID", F.lit("Rejected").alias("OrderStatus"),
+        F.lit(None).cast("decimal(12,4)").alias("TotalAmount"), "ErrorMessage"))
+
+
+def _processed_ledger(store: Store) -> DataFrame:
+    return orders.process_orders(
+        feeds.roomy(store), feeds.order_requests(store), as_of=AS_OF)["ledger"].drop(
+        "TransactionID")
+
+
+def _adjusted(part: str, *columns: str) -> Callable[[Store], DataFrame]:
+    def run(store: Store) -> DataFrame:
+        made = inventory.apply_inventory_adjustments(
+            feeds.roomy(store), feeds.stock_adjustments(store), as_of=AS_OF)[part]
+        return made.select(*columns) if columns else made
+
+    return run
+
+
+def _adjusted_amply(store: Store) -> DataFrame:
+    """With stock for everything, so that no adjustment is refused."""
+    return inventory.apply_inventory_adjustments(
+        feeds.roomy(store, 1, 10_000_000), feeds.stock_adjustments(store), as_of=AS_OF)["ledger"]
+
+
+def _returned(part: str, *columns: str, corrected: bool = False) -> Callable[[Store], DataFrame]:
+    def run(store: Store) -> DataFrame:
+        made = returns.process_returns(
+            store, feeds.return_requests(store), as_of=AS_OF, corrected=corrected)[part]
+        return made.select(*columns) if columns else made
+
+    return run
+
+
 OPERATORS: dict[str, Callable[[Store], DataFrame]] = {
     "sales_report_summary": lambda s: reports.sales_report_summary(s, **ALL),
     "sales_report_summary_last_30_days": lambda s: reports.sales_report_summary(s, as_of=AS_OF),
@@ -256,6 +327,32 @@ OPERATORS: dict[str, Callable[[Store], DataFrame]] = {
         "products", "ProductID", "StockQuantity", "ModifiedDate"),
     "fix_data_integrity_audit": _repaired("audit"),
     "constraint_violations": lambda s: quality.constraint_violations(feeds.with_faults(s)),
+    "parse_order_items": lambda s: orders.parse_order_items(
+        feeds.order_requests(s), product_type="bigint"),
+    "validate_orders": _validated_orders,
+    "price_orders": _priced,
+    "allocate_orders": _allocated("outcomes"),
+    "allocate_orders_products": _allocated("products"),
+    "process_orders": _processed,
+    "process_orders_ledger": _processed_ledger,
+    "apply_inventory_adjustments": _adjusted("ledger"),
+    "apply_inventory_adjustments_products":
+        _adjusted("products", "ProductID", "StockQuantity", "ModifiedDate"),
+    "apply_inventory_adjustments_rejects": _adjusted("rejects"),
+    "apply_inventory_adjustments_ample": _adjusted_amply,
+    "validate_returns": lambda s: returns.validate_returns(s, feeds.return_requests(s)).select(
+        "ReturnID", "CustomerID", "RefundAmount", "ErrorMessage", "ClosesOrder"),
+    "process_returns": _returned("returns"),
+    "process_returns_ledger": _returned(
+        "ledger", "ProductID", "TransactionType", "Quantity", "PreviousStock", "NewStock",
+        "ReferenceID", "Notes"),
+    "process_returns_products":
+        _returned("products", "ProductID", "StockQuantity", "ModifiedDate"),
+    "process_returns_orders": _returned("orders", "OrderID", "OrderStatus", "ModifiedDate"),
+    "process_returns_corrected":
+        _returned("returns", "ReturnID", "ReturnQuantity", "RefundAmount", corrected=True),
+    "process_returns_corrected_orders":
+        _returned("orders", "OrderID", "OrderStatus", "ModifiedDate", corrected=True),
 }
 
 

@@ -123,7 +123,7 @@ def per_key(
     totals: dict[str, str] | None = None,
     probe: DataFrame | None = None,
     bound: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Add columns worked out along each key's rows in ``order``.
 
@@ -132,6 +132,7 @@ def per_key(
     whole key. ``order`` must be total. ``probe`` is a cheaper frame with the
     same keys and at least as many rows of each, used to look for hot keys;
     ``bound`` is one still cheaper to count, with at least its number of rows.
+    ``hot_rows`` None tells that no key is hot.
     """
     before, totals = before or {}, totals or {}
     by_key = Window.partitionBy(*keys)
@@ -150,7 +151,9 @@ def per_key(
             out.append(F.sum(value).over(by_key).alias(name))
         return rows.select(*out)
 
-    hot = hot_keys(df if probe is None else probe, keys, bound=bound, hot_rows=hot_rows)
+    hot = None
+    if hot_rows is not None:
+        hot = hot_keys(df if probe is None else probe, keys, bound=bound, hot_rows=hot_rows)
     if hot is None:
         return plain(df)
     marked = F.broadcast(hot)

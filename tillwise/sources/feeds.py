@@ -156,3 +156,76 @@ def with_faults(store: Store) -> Store:
                      " ELSE NewStock END",
         ),
     )
+
+
+def order_requests(store: Store) -> DataFrame:
+    """One request per order line, with one to three items as JSON.
+
+    Some lists are broken, empty, ask for an unknown product or name a product
+    twice; some addresses are someone else's.
+    """
+    item = ("'{\"ProductID\":' || {p} || ',\"Quantity\":' || {q}"
+            " || ',\"UnitPrice\":' || UnitPrice || '}'")
+    first = item.replace("{p}", "CASE WHEN OrderID % 89 = 3 THEN -1 ELSE ProductID END").replace(
+        "{q}", "CASE WHEN OrderID % 97 = 5 THEN '\"many\"' ELSE CAST(Quantity AS STRING) END")
+    second = item.replace("{p}", "(ProductID DIV 2)").replace("{q}", "(1 + Quantity % 5)")
+    third = item.replace("{p}", "ProductID").replace("{q}", "1")
+    return store.scan(
+        "order_detail", "OrderDetailID", "OrderID", "ProductID", "Quantity", "UnitPrice",
+        "CreatedDate",
+    ).withColumn("Buyer", F.expr("OrderID DIV 10")).selectExpr(
+        "OrderDetailID AS OrderID",
+        "Buyer AS CustomerID",
+        "CreatedDate AS RequestDate",
+        "CASE WHEN OrderID % 7 = 0 THEN NULL WHEN OrderID % 11 = 0 THEN Buyer + 1"
+        " ELSE Buyer END AS ShippingAddressID",
+        "CASE WHEN OrderID % 5 = 0 THEN NULL WHEN OrderID % 13 = 0 THEN -1"
+        " ELSE Buyer END AS BillingAddressID",
+        "CASE OrderID % 3 WHEN 0 THEN 'Express' WHEN 1 THEN 'Economy' END AS ShippingMethod",
+        "CASE WHEN OrderID % 101 = 7 THEN '[]' WHEN OrderID % 103 = 9 THEN 'no list'"
+        f" ELSE '[' || {first}"
+        f" || CASE WHEN Quantity % 2 = 0 THEN ',' || {second} ELSE '' END"
+        f" || CASE WHEN Quantity % 7 = 3 THEN ',' || {third} ELSE '' END"
+        " || ']' END AS OrderItems",
+        "CASE WHEN OrderID % 4 = 0 THEN CAST(0.05 AS DECIMAL(5,4)) END AS TaxRate",
+        "CAST(5.99 AS DECIMAL(12,4)) AS ShippingAmount",
+        "CAST(OrderID % 3 AS DECIMAL(12,4)) AS DiscountAmount",
+    )
+
+
+def roomy(store: Store, times: int = 10, plus: int = 0) -> Store:
+    """The store with that many times the stock, and some more."""
+    return store.replacing(product=_edited(
+        store.scan("product"), StockQuantity=f"StockQuantity * {times} + {plus}"))
+
+
+def stock_adjustments(store: Store) -> DataFrame:
+    """One adjustment per order line, a quarter of them deliveries."""
+    return store.scan("order_detail", "OrderDetailID", "OrderID", "ProductID", "Quantity",
+                      "CreatedDate").selectExpr(
+        "OrderDetailID AS AdjustmentID",
+        "CreatedDate AS AdjustedAt",
+        "ProductID",
+        "CASE OrderID % 4 WHEN 0 THEN 'Restock' WHEN 1 THEN 'Damage' WHEN 2 THEN 'Transfer'"
+        " ELSE 'Adjustment' END AS AdjustmentType",
+        "CASE WHEN OrderID % 4 = 0 THEN Quantity * 2 ELSE -Quantity END AS Quantity",
+        "CASE WHEN OrderID % 2 = 0 THEN 'count of ' || OrderID END AS Notes",
+        "CAST(OrderID AS STRING) AS ReferenceID",
+    )
+
+
+def return_requests(store: Store) -> DataFrame:
+    """One request per order line: whole, half, too many, or for another product."""
+    return store.scan("order_detail", "OrderDetailID", "OrderID", "ProductID", "Quantity",
+                      "UnitPrice", "CreatedDate").selectExpr(
+        "'Q-' || OrderDetailID AS ReturnID",
+        "CreatedDate AS RequestedAt",
+        "OrderID",
+        "CASE WHEN Quantity % 17 = 5 THEN ProductID + 1 ELSE ProductID END AS ProductID",
+        "CAST(CASE WHEN Quantity % 13 = 1 THEN Quantity + 1 WHEN Quantity % 11 = 1 THEN 0"
+        "     WHEN OrderID % 2 = 0 THEN Quantity ELSE 1 + Quantity DIV 2 END AS INT)"
+        " AS ReturnQuantity",
+        "CASE WHEN Quantity % 2 = 0 THEN 'Damaged' END AS ReturnReason",
+        "CASE WHEN OrderID % 3 = 0 THEN CAST(9.99 AS DECIMAL(12,4)) END AS RefundAmount",
+        "OrderID % 5 <> 0 AS RestockProduct",
+    )
