@@ -27,8 +27,15 @@ from tillwise.operators import (
 )
 from tillwise.session import scratch_path, tune
 from tillwise.sources import feeds
-from tillwise.sources.star import AS_OF, HISTORY_START, star_store
+from tillwise.sources.star import (
+    AS_OF,
+    HISTORY_START,
+    line_columns,
+    order_columns,
+    star_store,
+)
 from tillwise.store import Store
+from tillwise.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 ALL = {"as_of": AS_OF, "start": HISTORY_START, "end": AS_OF}
@@ -356,6 +363,63 @@ OPERATORS: dict[str, Callable[[Store], DataFrame]] = {
 }
 
 
+def _raw_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table as a stream of its files. As a glob the path may be one file, too."""
+    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
+    return jobs.file_stream(spark, f"{sf_dir}/{table}.parque[t]", schema)
+
+
+def _streamed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole order table as a stream; files come in no order of dates, so the
+    lateness spans all of them."""
+    target = scratch_path(spark, "metrics")
+    orders = order_columns(_raw_stream(spark, sf_dir, "orders"))
+    jobs.stream_sales_metrics(orders, target, lateness="3650 days").awaitTermination()
+    return jobs.sales_metrics(spark, target)
+
+
+def _sales_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_columns(_raw_stream(spark, sf_dir, "lineitem")).select(
+        "ProductID", (-F.col("Quantity")).alias("Quantity"))
+
+
+def _streamed_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, target = star_store(spark, sf_dir), scratch_path(spark, "stock")
+    goods = feeds.roomy(store).scan("product")
+    jobs.stream_stock_ledger(
+        _sales_stream(spark, sf_dir), goods, target, as_of=AS_OF).awaitTermination()
+    return jobs.stock_levels(spark, goods, target)
+
+
+def _streamed_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, target = star_store(spark, sf_dir), scratch_path(spark, "stock")
+    goods = feeds.roomy(store).scan("product")
+    jobs.stream_stock_ledger(
+        _sales_stream(spark, sf_dir), goods, target, as_of=AS_OF).awaitTermination()
+    return jobs.stock_alert_log(spark, target)
+
+
+def _streamed_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed orders against the order table: re-priced, moved on, deleted, new."""
+    store, target = star_store(spark, sf_dir), scratch_path(spark, "audit")
+    changes = feeds.order_changes(order_columns(_raw_stream(spark, sf_dir, "orders")))
+    jobs.stream_order_audit(
+        changes, store.scan("sales_order"), target, as_of=AS_OF).awaitTermination()
+    return jobs.order_audit_log(spark, target)
+
+
+STREAMS: dict[str, Query] = {
+    "stream_sales_metrics": _streamed_metrics,
+    "stream_stock_ledger": _streamed_stock,
+    "stream_stock_alerts": _streamed_alerts,
+    "stream_order_audit": _streamed_audit,
+}
+
+
+def _stream_query(run: Query) -> Query:
+    return lambda spark, sf_dir: plain(run(tune(spark), sf_dir))
+
+
 def _query(operator: Callable[[Store], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return plain(operator(star_store(tune(spark), sf_dir)))
@@ -364,4 +428,6 @@ def _query(operator: Callable[[Store], DataFrame]) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {name: _query(operator) for name, operator in OPERATORS.items()}
+    made = {name: _query(operator) for name, operator in OPERATORS.items()}
+    made.update({name: _stream_query(run) for name, run in STREAMS.items()})
+    return made

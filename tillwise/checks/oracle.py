@@ -99,7 +99,10 @@ line AS (
   FROM (
     SELECT *, CAST(Quantity * UnitPrice * Rate AS DECIMAL(12,4)) AS DiscountAmount
     FROM (
-      SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS OrderDetailID,
+      SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,
+                       strftime(l_shipdate, '%Y%m%d'),
+                       CAST(CAST(l_extendedprice AS DECIMAL(16,2)) * 100 AS BIGINT))
+               AS OrderDetailID,
              l_orderkey AS OrderID, l_partkey AS ProductID,
              CAST(l_quantity AS INT) AS Quantity,
              CAST(CAST(greatest(CAST(CAST(l_extendedprice AS DECIMAL(16,2)) * 100 AS BIGINT)

@@ -428,6 +428,28 @@ def statements() -> dict[str, str]:
            'INTEGRITY_CHECK' AS ChangedBy, {AUDIT_TAIL}
     FROM f_prod WHERE StockQuantity < 0""",
         "constraint_violations": _violations(),
+        "stream_sales_metrics": base("sale") + """
+    SELECT date_trunc('day', OrderDate) AS Day, OrderStatus, count(*) AS Orders,
+           CAST(sum(TotalAmount) AS DOUBLE) AS Revenue
+    FROM sale GROUP BY ALL""",
+        "stream_stock_ledger": base("prod", "line") + """
+    SELECT p.ProductID, CAST(p.StockQuantity * 10 - coalesce(sum(l.Quantity), 0) AS BIGINT)
+             AS StockQuantity, p.ReorderLevel
+    FROM prod p LEFT JOIN line l ON l.ProductID = p.ProductID
+    GROUP BY p.ProductID, p.StockQuantity, p.ReorderLevel""",
+        "stream_stock_alerts": base("prod", "line") + f"""
+    , moved AS (
+      SELECT p.ProductID, p.StockQuantity * 10 AS old, p.ReorderLevel,
+             p.StockQuantity * 10 - (SELECT sum(Quantity) FROM line l
+                                     WHERE l.ProductID = p.ProductID) AS new
+      FROM prod p)
+    SELECT 'Product' AS TableName, 'STOCK_ALERT' AS Operation,
+           CAST(ProductID AS VARCHAR) AS PrimaryKeyValue, 'Stock: ' || old AS OldValues,
+           'Stock: ' || new || ' (Below Reorder Level: ' || ReorderLevel || ')' AS NewValues,
+           'loader' AS ChangedBy, {AUDIT_TAIL}
+    FROM moved WHERE old > ReorderLevel AND new BETWEEN 0 AND ReorderLevel""",
+        "stream_order_audit": base("sale") + ORDERS_AFTER + f"""
+    SELECT 'Order' AS TableName, *, 'loader' AS ChangedBy, {AUDIT_TAIL} FROM trail""",
     }
 
 

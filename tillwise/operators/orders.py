@@ -166,8 +166,9 @@ def process_orders(
     Gives the new ``orders`` and ``details``, the ``ledger`` rows of what was
     sold, ``products`` with the stock left, and ``rejects``.
     """
-    items = _items(store, requests)
-    found = _findings(store, requests, items)
+    # Both are read by several outputs: parsed and checked once.
+    items = cut_lineage(_items(store, requests))
+    found = cut_lineage(_findings(store, requests, items))
     unfit = (F.col("customer") | F.col("malformed") | F.col("empty") | F.col("product"))
     misaddressed = F.col("shipping") | F.col("billing")
     checked = requests.select("OrderID", "RequestDate").join(found, "OrderID")

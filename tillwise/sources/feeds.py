@@ -33,6 +33,24 @@ def orders_after(store: Store) -> DataFrame:
     )
 
 
+def order_changes(orders: DataFrame) -> DataFrame:
+    """A change per order, batch or stream: as :func:`orders_after`, but re-keyed
+    orders are deleted under their old key and added under the new one."""
+    new = {
+        "OrderStatus": "CASE WHEN OrderID % 10 = 3 THEN 'Shipped' ELSE OrderStatus END",
+        "TotalAmount": "CAST(CASE WHEN OrderID % 10 = 4 THEN TotalAmount + 10"
+                       " ELSE TotalAmount END AS DECIMAL(12,4))",
+    }
+    keys = "CASE WHEN OrderID % 50 = 9 THEN array(OrderID, -OrderID) ELSE array(OrderID) END"
+    return orders.selectExpr(
+        "OrderID AS OldID", "CustomerID",
+        *[f"{value} AS {name}" for name, value in new.items()],
+        f"explode({keys}) AS OrderID",
+    ).selectExpr(
+        "OrderID", "CustomerID", "TotalAmount", "OrderStatus",
+        "OldID % 50 = 9 AND OrderID = OldID AS Deleted")
+
+
 def products_after(store: Store) -> DataFrame:
     """Products after a day of sales and price changes; some stocks fall below zero."""
     return _edited(

@@ -106,7 +106,9 @@ _ORDER = """
 """
 
 _LINE_CORE = """
-    concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS OrderDetailID,
+    concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,
+              date_format(l_shipdate, 'yyyyMMdd'),
+              CAST(CAST(l_extendedprice AS DECIMAL(16,2)) * 100 AS BIGINT)) AS OrderDetailID,
     l_orderkey AS OrderID,
     l_partkey AS ProductID,
     CAST(l_quantity AS INT) AS Quantity,

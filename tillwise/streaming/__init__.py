@@ -1,0 +1 @@
+"""Live versions of the sales metrics, the stock ledger and the order audit."""
