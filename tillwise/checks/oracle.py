@@ -100,7 +100,7 @@ line AS (
     SELECT *, CAST(Quantity * UnitPrice * Rate AS DECIMAL(12,4)) AS DiscountAmount
     FROM (
       SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,
-                       strftime(l_shipdate, '%Y%m%d'),
+                       date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)),
                        CAST(CAST(l_extendedprice AS DECIMAL(16,2)) * 100 AS BIGINT))
                AS OrderDetailID,
              l_orderkey AS OrderID, l_partkey AS ProductID,
