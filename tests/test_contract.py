@@ -10,7 +10,6 @@ import __spark_entry__ as contract
 from scripts.compare import connect, difference
 
 SF_DIR = "/root/testdata/sf0.001"
-SLOW_WITHOUT_SQL = {"process_orders", "process_orders_ledger", "allocate_orders_products"}
 
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="no test tables here")
 
@@ -36,6 +35,6 @@ def test_same_rows(spark, db, name):
 
 
 @pytest.mark.parametrize(
-    "name", sorted(set(contract.queries()) - set(contract.oracle_sql()) - SLOW_WITHOUT_SQL))
+    "name", sorted(set(contract.queries()) - set(contract.oracle_sql())))
 def test_has_rows(spark, name):
     assert contract.queries()[name](spark, SF_DIR).count() > 0

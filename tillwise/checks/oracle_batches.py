@@ -150,6 +150,35 @@ ADDED_UP = RETURNS.replace("{limit}", "false") + """
             >= (SELECT sum(bought) FROM total WHERE total.OrderID = k.OrderID))"""
 
 
+# One order per step against the stock left by the steps before. Row -1 holds
+# the step, rows from 0 the stock, rows from -1000 down the refused orders.
+REPLAY = """
+    , wanted AS (
+      SELECT o.OrderDate, o.OrderID, l.ProductID, sum(l.Quantity) AS q
+      FROM sale o JOIN line l ON l.OrderID = o.OrderID GROUP BY ALL
+    ), unit AS MATERIALIZED (
+      SELECT row_number() OVER (ORDER BY OrderDate, OrderID) - 1 AS n, OrderID,
+             list({p: ProductID, q: q}) AS items
+      FROM wanted GROUP BY OrderDate, OrderID
+    ), page AS MATERIALIZED (
+      SELECT n // 128 AS no, list(items ORDER BY n) AS units FROM unit GROUP BY 1
+    ), run(k, v) USING KEY (k) AS (
+      SELECT ProductID, CAST(StockQuantity * 10 AS BIGINT) FROM prod
+      UNION ALL SELECT -1, CAST(0 AS BIGINT)
+      UNION
+      SELECT unnest(list_concat(
+               [{k: -1, v: n + 1}],
+               CASE WHEN fits THEN rest ELSE [{k: -1000 - n, v: CAST(0 AS BIGINT)}] END),
+             recursive := true)
+      FROM (
+        SELECT n, bool_and(s.v >= u.q) AS fits,
+               list({k: u.p, v: CAST(s.v - u.q AS BIGINT)}) AS rest
+        FROM (SELECT t.v AS n, unnest(g.units[t.v % 128 + 1], recursive := true)
+              FROM run t JOIN page g ON g.no = t.v // 128 WHERE t.k = -1) u
+        LEFT JOIN recurring.run s ON s.k = u.p
+        GROUP BY n))"""
+
+
 def _recursive(head: str) -> str:
     return head.replace("WITH ", "WITH RECURSIVE ", 1)
 
@@ -162,7 +191,13 @@ def statements() -> dict[str, str]:
         "{stock}", "CAST(StockQuantity + 10000000 AS BIGINT)")
     closing = base("prod", "sale", "ret") + CLOSING
     added = _recursive(base("sale", "ret")) + ADDED_UP
+    replay = _recursive(base("prod", "sale", "line")) + REPLAY
     return {
+        "allocate_orders": replay + """
+    SELECT u.OrderID, CASE WHEN r.k IS NULL THEN 'taken' ELSE 'refused' END AS Outcome
+    FROM unit u LEFT JOIN run r ON r.k = -1000 - u.n""",
+        "allocate_orders_products": replay + """
+    SELECT k AS ProductID, v AS StockQuantity FROM run WHERE k >= 0""",
         "parse_order_items": asked + """
     SELECT OrderID, ItemNo, ProductID, Quantity, CAST(UnitPrice AS DOUBLE) AS UnitPrice, IsValid
     FROM good""",
