@@ -81,7 +81,7 @@ def product_recommendations(
     )
     # A category matters only while better-scored ones hold fewer than N.
     better = Window.partitionBy("CustomerID").orderBy(F.desc("PopularityScore"))
-    useful = (
+    useful = cut_lineage(
         scored.withColumn(
             "Ahead", F.sum("Left").over(better.rangeBetween(Window.unboundedPreceding, 0)))
         .withColumn("Same", F.sum("Left").over(
