@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +31,22 @@ def builder(app: str = "tillwise") -> SparkSession.Builder:
 def tune(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    return ship(spark)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the executors' Python workers this package.
+
+    Needed where it is not installed on them, as when the driver only extends
+    its own ``sys.path``. The archive is sent once per Spark context.
+    """
+    context = spark.sparkContext
+    if not any(Path(f).name == "tillwise.zip" for f in context._python_includes):
+        made = tempfile.mkdtemp(prefix="tillwise-package-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        package = Path(__file__).resolve().parent
+        context.addPyFile(shutil.make_archive(
+            f"{made}/tillwise", "zip", root_dir=package.parent, base_dir=package.name))
     return spark
 
 
