@@ -226,9 +226,13 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
     """doc_id, a count for each base kind, base_sha256 and spans."""
     found = with_spans(docs.select("doc_id", "text"), rules)
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))
+
+    def number(kind: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
     return found.select(
         F.col("row.doc_id").alias("doc_id"),
-        *[F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(BASE)],
+        *[number(k).alias(f"n_{r.kind}") for k, r in enumerate(BASE)],
         F.sha2(as_text(base, rules), 256).alias("base_sha256"), as_text(F.col("spans"), rules).alias("spans"))
 
 

@@ -4,10 +4,20 @@ Rows with equal texts are one group and stay together. A partial partition is
 a list of ``shards`` byte sums. Differencing takes the two partial partitions
 with the largest spread (largest less smallest sum) and adds them in opposite
 order, largest to smallest, until one is left. It starts from one partial
-partition per group. Here tasks do this for buckets of about ``BUCKET`` groups;
-what is left of each bucket is itself a partial partition, so the same step
-runs over the buckets, and over buckets of those, until one is left. Every
-level shrinks by the factor ``BUCKET`` and no task holds more than a bucket.
+partition per group.
+
+One heap over all groups would be one task, so the groups are dealt to three
+kinds of heaps of about ``BUCKET`` groups, largest groups first as in one heap:
+
+1. the groups above a ``BUCKET``-th of all bytes, of which there are fewer than
+   ``BUCKET``, leave a partial partition of some spread;
+2. hashed buckets of the other groups, each with an equal share of that partial
+   partition as one more item, so that together they even it out;
+3. one more hashed bucket, kept back, with the sums so far as one more item:
+   its small groups take up what the rounding of all others has left.
+
+The extra item names the shards, so only ``shards`` sums pass from one step to
+the next, and no level is repeated however many groups there are.
 
 A group is one row with its byte sum before anything is combined, however many
 copies it has. Slots number the rows of a shard from 0 without gaps: rows are
@@ -71,46 +81,47 @@ def difference(sums: np.ndarray) -> np.ndarray:
     return goes
 
 
-def _combine(items: DataFrame, shards: int, bucket: int, key_type: str) -> DataFrame:
-    """item, part, goes, bucket from the items' sums, bucket by bucket."""
-    parts = [f"s{j}" for j in range(shards)]
+def _spread(groups: DataFrame, by: str, start: list[int], key_type: str = "binary") -> DataFrame:
+    """``item``, ``shard`` and ``bytes``, each ``by`` differenced together with the partition ``start``."""
+    k = len(start)
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("item").reset_index(drop=True)
-        goes = difference(frame[parts].to_numpy(dtype=np.int64))
-        return pd.DataFrame({
-            "item": np.repeat(frame["item"].to_numpy(), shards),
-            "part": np.tile(np.arange(shards), len(frame)), "goes": goes.ravel(),
-            "bytes": frame[parts].to_numpy(dtype=np.int64).ravel(),
-            "bucket": np.repeat(frame["bucket"].to_numpy(), shards)})
+        frame = frame.sort_values(["bytes", "item"])
+        sums = np.zeros((len(frame) + 1, k), dtype=np.int64)
+        # Equal sums are told apart by place; turning the places keeps buckets from all favouring one shard.
+        turn = int(frame[by].iloc[0]) % k
+        sums[0] = np.roll(start, turn)
+        sums[1:, 0] = frame["bytes"]
+        goes = difference(sums)
+        name = np.empty(k, dtype=np.int64)
+        name[goes[0]] = (np.arange(k) - turn) % k
+        return pd.DataFrame({"item": frame["item"], "shard": name[goes[1:, 0]], "bytes": frame["bytes"]})
 
-    buckets = max(1, -(-items.count() // bucket))
-    return items.withColumn("bucket", F.pmod(F.xxhash64("item"), F.lit(buckets))).groupBy("bucket").applyInPandas(
-        one, f"item {key_type}, part int, goes int, bytes long, bucket long")
+    return groups.groupBy(by).applyInPandas(one, f"item {key_type}, shard int, bytes long")
 
 
 def assign_groups(groups: DataFrame, shards: int = SHARDS, bucket: int = BUCKET) -> DataFrame:
     """``item`` and ``shard`` for the groups in (item binary, bytes)."""
-    items = groups.select("item", F.col("bytes").alias("s0"), *[F.lit(0).cast("long").alias(f"s{j}") for j in range(1, shards)])
-    levels, key_type = [], "binary"
-    while True:
-        level = written(_combine(items, shards, bucket, key_type), "differencing")
-        levels.append(level)
-        items = written(
-            level.groupBy(F.col("bucket").alias("item")).agg(*[
-                F.coalesce(F.sum(F.when(F.col("goes") == j, F.col("bytes"))), F.lit(0)).alias(f"s{j}")
-                for j in range(shards)]), "partitions")
-        key_type = "long"
-        if len(items.take(2)) < 2:
-            break
-    # From the last bucket down: where each part of each item ends.
-    ends = levels[-1].select("item", "part", F.col("goes").alias("shard"))
-    for level in reversed(levels[:-1]):
-        above = ends.select(F.col("item").alias("_bucket"), F.col("part").alias("_part"), "shard")
-        ends = level.join(
-            above, (level["bucket"] == above["_bucket"]) & (level["goes"] == above["_part"])
-        ).select("item", "part", "shard")
-    return ends.where("part = 0").select("item", "shard")
+    count, total = groups.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    large = F.col("bytes") * bucket > total
+    # All in one heap if they fit; else the last bucket is the one kept back.
+    buckets = 0 if count <= bucket else -(-count // bucket)
+    dealt = groups.withColumn("bucket", F.when(large, -1).otherwise(
+        F.pmod(F.xxhash64("item"), F.lit(buckets + 1))).cast("int") if buckets else F.lit(-1))
+
+    def sums(done: DataFrame) -> list[int]:
+        found = dict(done.groupBy("shard").agg(F.sum("bytes")).collect())
+        return [found.get(j, 0) for j in range(shards)]
+
+    first = written(_spread(dealt.where("bucket = -1"), "bucket", [0] * shards), "large")
+    if not buckets:
+        return first.select("item", "shard")
+    left = sums(first)
+    share = [(x - min(left)) // buckets for x in left]
+    second = written(_spread(dealt.where(f"bucket >= 0 AND bucket < {buckets}"), "bucket", share), "buckets")
+    so_far = [x + y for x, y in zip(left, sums(second), strict=True)]
+    third = _spread(dealt.where(f"bucket = {buckets}"), "bucket", [x - min(so_far) for x in so_far])
+    return first.union(second).union(third).select("item", "shard")
 
 
 def numbered(rows: DataFrame, by: str, order: str) -> DataFrame:
