@@ -4,8 +4,9 @@ Test items are cut into segments of at most ``SEGMENT`` tokens (runs of
 letters and digits, A-Z in lower case), half overlapping. Every text's n-grams
 are looked up among the items' n-grams, and the number of texts that hold each
 is counted over all texts. Of each ``SPREAD`` neighbouring n-grams of a segment
-the rarest is a seed: common phrases seed nothing while every stretch of the
-segment keeps one, however many texts share it. Each seed found in a text
+the rarest is a seed: common phrases seed nothing while every stretch of
+``WORDS + SPREAD - 1`` tokens keeps one, however many texts share it; a copy
+without one such stretch left whole is not found. Each seed found in a text
 joins it to the segment at a diagonal; seeds on near diagonals share one
 window of the text. The window and the segment are aligned word by word
 (match 2, mismatch -1, gap -1). A score of ``LEAST`` of the best possible one,
@@ -37,7 +38,7 @@ from tillwise.llm.quality_classifier import KIND, tokens
 from tillwise.llm.textbatch import Run, U, blobs_of, mix, runs
 
 WORDS = 3
-SPREAD = 3
+SPREAD = 2
 SEGMENT = 96
 LEAST = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
