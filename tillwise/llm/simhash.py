@@ -4,7 +4,7 @@ A fingerprint has a bit set if it is set in over half of the hashes of the
 text's three-word shingles. Two fingerprints at most ``radius`` bits apart have
 a value between them at most half of that from each. So every distinct
 fingerprint emits all values within half the radius; a shuffle brings equal
-values together; each bucket links its fingerprints to its smallest one, which
+values together; a bucket is kept as the set of bits that lead to it, in one row; each bucket links its fingerprints to its smallest one, which
 keeps all that share a bucket connected without forming their pairs; links are
 deduplicated, and verified by counting the differing bits. Distinct
 fingerprints that share a value differ from it in different bits, so with half
@@ -84,13 +84,23 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     for _ in range((radius + 1) // 2):
         flips = sorted({f ^ (1 << bit) for f in flips for bit in range(64)} | set(flips))
     signed = [f - (1 << 64) if f >> 63 else f for f in flips]
-    balls = prints.select("fp", F.explode(F.array(*[F.lit(f) for f in signed])).alias("flip")).select(
-        "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
-    least = balls.groupBy("variant").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n"))
-    pairs = least.where("n > 1")
-    several = pairs.where("n > 2").select("variant", "a")
-    more = balls.join(several, "variant").select("a", F.col("fp").alias("b"))
-    found = pairs.select("a", "b").union(more).where("a != b").distinct()
+    # A row is a value and the number of the flip that led to it, which names the fingerprint
+    # in a byte or two; a bucket is the set of its flips, as bits.
+    balls = prints.select("fp", F.posexplode(F.array(*[F.lit(f) for f in signed])).alias("flip", "by")).select(
+        F.col("fp").bitwiseXOR(F.col("by")).alias("variant"), F.col("flip").cast("short").alias("flip"))
+    words = [lo for lo in range(0, len(flips), 63)]
+    buckets = balls.groupBy("variant").agg(*[
+        F.bit_or(F.expr(f"CASE WHEN flip BETWEEN {lo} AND {lo + 62} THEN shiftleft(1L, flip - {lo}) ELSE 0L END")).alias(f"set{lo}")
+        for lo in words])
+    number = sum((F.bit_count(f"set{lo}") for lo in words[1:]), F.bit_count(f"set{words[0]}"))
+    members = F.concat(*[
+        F.filter(
+            F.array(*[F.when(F.col(f"set{lo}").bitwiseAND(F.lit(1 << i)) != 0, F.col("variant").bitwiseXOR(F.lit(f)))
+                      for i, f in enumerate(signed[lo:lo + 63])]),
+            lambda x: x.isNotNull())
+        for lo in words])
+    found = buckets.where(number > 1).select(members.alias("fps")).select(
+        F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a != b").distinct()
     # Buckets of a wider ball may hold pairs beyond the radius; none at an even one.
     return found.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
