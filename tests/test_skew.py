@@ -55,10 +55,17 @@ def test_hot_keys(spark, rows):
 def test_hot_rows_are_spread(spark, rows, pieces):
     """No task holds the hot key's rows alone."""
     hot = rows.where("k = 'hot'")
-    split = skew._piecewise(hot, ["k"], [F.col("id")], "nth", {}, None, {})
+    split = skew._piecewise(hot, 4, ["k"], [F.col("id")], "nth", {}, None, {})
     assert split.count() == hot.count()
-    pieces = hot.orderBy("k", "id").withColumn("p", F.spark_partition_id()).groupBy("p").count()
-    assert pieces.count() > 1
+    sizes = [r["count"] for r in skew._in_order(hot, ["k"], [F.col("id")], 4).groupBy("_piece").count().collect()]
+    assert len(sizes) > 2 and max(sizes) < hot.count() / 2
+
+
+def test_numbered(spark, rows):
+    made = skew.numbered(rows, [F.desc("at"), F.col("id")], "nth", piece_rows=900).toPandas().sort_values("nth")
+    assert made["nth"].tolist() == list(range(1, len(made) + 1))
+    assert made.sort_values(["at", "id"], ascending=[False, True])["nth"].is_monotonic_increasing
+    assert skew.numbered(rows.limit(0), [F.col("id")], "nth").count() == 0
 
 
 def test_history_and_ledger_with_split_customers(spark, pieces):

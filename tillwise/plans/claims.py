@@ -143,12 +143,12 @@ def settle_singles(
     contended = cut_lineage(_contended(lines, stock, unit, key, order))
     unit_type = lines.schema[unit].dataType.simpleString()
     hot = hot_keys(contended, [key], hot_rows=hot_rows)
-    small = contended if hot is None else contended.join(F.broadcast(hot), key, "left_anti")
+    small = contended if hot is None else contended.join(hot, key, "left_anti")
     refused = (
         small.repartition(key).sortWithinPartitions(key, *order, unit)
         .mapInPandas(lambda batches: refuse_in_turn(batches, unit, key), f"`{unit}` {unit_type}")
     )
     if hot is not None:
-        big = contended.join(F.broadcast(hot), key, "left_semi")
+        big = contended.join(hot, key, "left_semi")
         refused = refused.unionByName(_refused_in_rounds(big, unit, key, order, hot_rows))
     return _outcomes(lines, refused, unit)

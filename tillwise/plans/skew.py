@@ -1,9 +1,9 @@
 """Ordered work per key that stays spread out when one key holds most rows.
 
 A plain window sends all rows of a key to one task. Here keys with few rows
-take that plain window; a key too big for one task is range-sorted over all
-tasks, numbered piece by piece, and the pieces are shifted by what lies before
-them. Both ways give the same result, on every row.
+take that plain window; keys too big for one task are range-sorted into pieces
+of bounded size, numbered piece by piece, and the pieces are shifted by what
+lies before them. Both ways give the same result, on every row.
 """
 
 from __future__ import annotations
@@ -15,34 +15,25 @@ from pyspark.sql import functions as F
 
 from tillwise.session import cut_lineage
 
-# A key is hot above this many rows. The share bounds how many keys can be hot:
-# keys of more than total / HOT_KEYS rows number fewer than HOT_KEYS.
+# Rows of one key that a task may take, whatever the size of the table.
 HOT_ROWS = 1_000_000
-HOT_KEYS = 20_000
 
 
 def hot_keys(
     df: DataFrame, keys: Sequence[str], *, bound: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame | None:
-    """Keys of ``df`` holding more rows than one task should take, or None.
+    """Keys of ``df`` holding more than ``hot_rows`` rows with their ``_rows``, or None.
 
     ``bound`` is a table with at least as many rows that is cheaper to count,
-    such as a file scan. At most ``HOT_KEYS`` rows come back, so the result is
-    safe to broadcast.
+    such as a file scan. The keys stay a table: there can be one for every
+    ``hot_rows`` rows.
     """
-    total = (df if bound is None else bound).count()
-    if total <= hot_rows:
+    if (df if bound is None else bound).count() <= hot_rows:
         return None
-    limit = max(hot_rows, total // HOT_KEYS)
-    found = (
-        df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > limit)
-        .select(*keys).collect()
-    )
-    if not found:
-        return None
-    spark = df.sparkSession
-    return spark.createDataFrame(found, df.select(*keys).schema)
+    found = cut_lineage(
+        df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > hot_rows))
+    return None if found.isEmpty() else found
 
 
 def _same(keys: Sequence[str], left: str, right: str) -> Column:
@@ -53,8 +44,22 @@ def _same(keys: Sequence[str], left: str, right: str) -> Column:
     return test
 
 
+def _in_order(hot: DataFrame, keys: Sequence[str], order: Sequence[Column], tasks: int) -> DataFrame:
+    """Rows range-sorted over ``tasks`` tasks, with ``_piece`` and ``_at``; written once.
+
+    The split is by the full, unique order, so no key is too big for it.
+    Pieces and rows must see the same split.
+    """
+    by = [*[F.col(k).asc_nulls_first() for k in keys], *order]
+    return cut_lineage(
+        hot.repartitionByRange(max(2, tasks), *by).sortWithinPartitions(*by)
+        .withColumn("_at", F.monotonically_increasing_id())
+        .withColumn("_piece", F.shiftright("_at", 33)))
+
+
 def _piecewise(
     hot: DataFrame,
+    tasks: int,
     keys: Sequence[str],
     order: Sequence[Column],
     rank: str | None,
@@ -63,13 +68,7 @@ def _piecewise(
     totals: dict[str, str],
 ) -> DataFrame:
     columns = hot.columns
-    # The range sort splits by the full, unique order, so no key is too big for
-    # it. Written once: pieces and rows must see the same split.
-    placed = cut_lineage(
-        hot.orderBy(*[F.col(k).asc_nulls_first() for k in keys], *order)
-        .withColumn("_at", F.monotonically_increasing_id())
-        .withColumn("_piece", F.shiftright("_at", 33))
-    )
+    placed = _in_order(hot, keys, order, tasks)
     sums = {f"_s_{v}": F.sum(v) for v in {*before.values(), *totals.values()}}
     # One row per hot key and sort partition it touches.
     pieces = placed.groupBy(*keys, "_piece").agg(
@@ -96,7 +95,7 @@ def _piecewise(
         })
         .alias("l")
         .join(
-            F.broadcast(shifts).alias("r"),
+            shifts.alias("r"),
             _same([*keys, "_piece"], "l", "r"),
         )
     )
@@ -156,12 +155,29 @@ def per_key(
         hot = hot_keys(df if probe is None else probe, keys, bound=bound, hot_rows=hot_rows)
     if hot is None:
         return plain(df)
-    marked = F.broadcast(hot)
-    is_hot = _same(keys, "l", "h")
-    cold_rows = df.alias("l").join(marked.alias("h"), is_hot, "left_anti")
-    hot_rows_ = df.alias("l").join(marked.alias("h"), is_hot, "left_semi")
-    wide = plain(cold_rows)
-    split = _piecewise(hot_rows_, keys, order, rank, before, count, totals)
+    # What led to the rows runs once; both halves read the written copy.
+    marked = cut_lineage(
+        df.alias("l").join(hot.alias("h"), _same(keys, "l", "h"), "left")
+        .select("l.*", F.col("h._rows").isNotNull().alias("_hot")))
+    wide = plain(marked.where("NOT _hot").drop("_hot"))
+    rows = hot.agg(F.sum("_rows")).first()[0]
+    split = _piecewise(marked.where("_hot").drop("_hot"), -(-2 * rows // hot_rows), keys, order,
+                       rank, before, count, totals)
     return wide.unionByName(split.select(
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in wide.schema.fields]
     ))
+
+
+def numbered(df: DataFrame, order: Sequence[Column], name: str, *, piece_rows: int = HOT_ROWS) -> DataFrame:
+    """``df`` with ``name`` from 1 over all rows in ``order``, which must be total.
+
+    Rows are range-sorted into pieces of about ``piece_rows``; a piece is
+    numbered by its own task and shifted by the rows before it.
+    """
+    placed = _in_order(df, [], order, -(-df.count() // piece_rows))
+    sizes = placed.groupBy("_piece").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    # One row per piece, which is few: all of them in one task.
+    before = sizes.select("_piece", "_first", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return placed.join(before, "_piece").withColumn(
+        name, F.col("_at") - F.col("_first") + F.col("_before") + 1).select(*df.columns, name)

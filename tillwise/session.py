@@ -51,29 +51,45 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints and intermediate tables.
+    """The folder for intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local session may
-    fall back to a temporary folder: executors on other machines could not
-    read it back.
+    A cluster names it in ``spark.checkpoint.dir``. Only a session in one
+    process may go without and gets a temporary folder, removed at its end:
+    executors elsewhere could not read it back.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if named is None:
-        if not context.master.startswith("local"):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         named = tempfile.mkdtemp(prefix="tillwise-")
-    if context.getCheckpointDir() is None:
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
         context.setCheckpointDir(named)
-    return named
+    return named.rstrip("/")
+
+
+def _root(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{shared_dir(spark)}/tillwise/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path for one intermediate table below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/tillwise/{label}-{uuid.uuid4().hex}"
+    return f"{_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from the written copy."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and go on from the written copy.
+
+    The copy is Parquet: readers take the columns they need, and a lost
+    executor costs nothing that came before.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application; frames that read them end here."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
