@@ -68,13 +68,65 @@ def test_order_audit_over_batches(spark, tmp_path, monkeypatch):
     target, folder = str(tmp_path / "out"), str(tmp_path / "in")
     want, state = [], before
     for rows in steps:
-        change = spark.createDataFrame(rows, f"{columns}, Deleted boolean")
+        change = spark.createDataFrame(rows, f"{columns}, Deleted boolean").withColumn("At", F.lit(1))
         change.coalesce(1).write.mode("append").parquet(folder)
         stream = jobs.file_stream(spark, folder, change.schema)
-        jobs.stream_order_audit(stream, before, target, as_of=AS_OF).awaitTermination()
+        jobs.stream_order_audit(
+            stream, before, target, as_of=AS_OF, sequence="At").awaitTermination()
         kept = state.join(change, "OrderID", "left_anti").unionByName(
-            change.where("NOT Deleted").drop("Deleted"))
+            change.where("NOT Deleted").drop("Deleted", "At"))
         want += order_audit_trail(state, kept, as_of=AS_OF).collect()
         state = spark.createDataFrame(kept.collect(), kept.schema)
     got = jobs.order_audit_log(spark, target).collect()
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_several_changes_of_an_order_in_a_batch(spark, tmp_path):
+    columns = "OrderID int, CustomerID int, TotalAmount decimal(12,4), OrderStatus string"
+    before = spark.createDataFrame([(1, 1, Decimal(1), "Pending")], columns)
+    rows = [(1, 1, Decimal(1), "Shipped", False, 3), (1, 1, Decimal(1), "Processing", False, 2),
+            (1, 1, Decimal(1), "Shipped", True, 4), (1, 1, Decimal(2), "Pending", False, 5),
+            (7, 7, Decimal(7), "Pending", False, 1), (7, 7, Decimal(7), "Pending", True, 2),
+            (8, 8, Decimal(8), "Pending", True, 1)]
+    change = spark.createDataFrame(rows, f"{columns}, Deleted boolean, At int")
+    folder, target = files(change, str(tmp_path / "in"), 3), str(tmp_path / "out")
+    stream = jobs.file_stream(spark, folder, change.schema)
+    jobs.stream_order_audit(stream, before, target, as_of=AS_OF, sequence="At").awaitTermination()
+    got = sorted((r.PrimaryKeyValue, r.Operation, str(r.OldValues)[:24], str(r.NewValues)[:24])
+                 for r in jobs.order_audit_log(spark, target).collect())
+    assert [g[:2] for g in got] == [("1", "DELETE"), ("1", "INSERT"), ("1", "UPDATE"), ("1", "UPDATE"),
+                                    ("7", "DELETE"), ("7", "INSERT")]
+    moves = {(g[2].split(",")[0], g[3].split(",")[0]) for g in got if g[1] == "UPDATE"}
+    assert moves == {("OrderStatus=Pending", "OrderStatus=Processing"), ("OrderStatus=Processing", "OrderStatus=Shipped")}
+
+
+def test_alert_below_zero_and_ledger(spark, tmp_path):
+    products = spark.createDataFrame([(1, 100, 30), (2, 100, 30)], "ProductID int, StockQuantity int, ReorderLevel int")
+    moves = spark.createDataFrame([(1, -150), (2, -10)], "ProductID int, Quantity int")
+    folder, target = files(moves, str(tmp_path / "in"), 1), str(tmp_path / "out")
+    stream = jobs.file_stream(spark, folder, moves.schema)
+    jobs.stream_stock_ledger(stream, products, target, as_of=AS_OF).awaitTermination()
+    assert [r.PrimaryKeyValue for r in jobs.stock_alert_log(spark, target).collect()] == ["1"]
+    assert {tuple(r) for r in jobs.stock_ledger(spark, target).collect()} == {(1, -150, 100, -50), (2, -10, 100, 90)}
+
+
+def test_sales_day_in_another_zone_and_late_rows(spark, tmp_path):
+    rows = [[(1, datetime(2024, 3, 10, 23), "Shipped", Decimal(1)), (2, datetime(2024, 3, 11, 0), "Shipped", Decimal(2))],
+            [(3, datetime(2024, 3, 1), "Shipped", Decimal(4))], [(4, datetime(2024, 3, 1), "Shipped", Decimal(8))]]
+    schema = "OrderID int, OrderDate timestamp_ntz, OrderStatus string, TotalAmount decimal(12,4)"
+    folder, target = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    late = 0
+    try:
+        for part in rows:
+            frame = spark.createDataFrame(part, schema)
+            frame.coalesce(1).write.mode("append").parquet(folder)
+            query = jobs.stream_sales_metrics(
+                jobs.file_stream(spark, folder, frame.schema), target, lateness="2 days")
+            query.awaitTermination()
+            late += sum(jobs.late_rows(query).values())
+        got = {(r.Day, r.Orders) for r in jobs.sales_metrics(spark, target).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == {(datetime(2024, 3, 10), 1), (datetime(2024, 3, 11), 1)}
+    assert late == 2

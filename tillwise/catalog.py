@@ -127,11 +127,11 @@ def _order_range_pruned(store: Store) -> DataFrame:
     return written.where(F.col("OrderRange") == 3).select("OrderID", "OrderDate", "TotalAmount")
 
 
-def _defaults(store: Store) -> DataFrame:
+def _defaults(store: Store, fill_unknown: bool = False) -> DataFrame:
     bare = store.scan("sales_order", "OrderID", "CustomerID", "PaymentStatus").withColumn(
         "PaymentStatus",
         F.when(F.col("PaymentStatus") != "Failed", F.col("PaymentStatus")))
-    filled = prep.apply_defaults(bare, "sales_order", as_of=AS_OF)
+    filled = prep.apply_defaults(bare, "sales_order", as_of=AS_OF, fill_unknown=fill_unknown)
     return prep.with_hash_key(filled, "RowKey", "OrderID", "CustomerID")
 
 
@@ -309,6 +309,7 @@ OPERATORS: dict[str, Callable[[Store], DataFrame]] = {
     "partitioned_orders": _order_ranges,
     "partitioned_orders_pruned": _order_range_pruned,
     "apply_defaults": _defaults,
+    "apply_defaults_filled": lambda s: _defaults(s, fill_unknown=True),
     "sequence_keys": _sequence,
     "order_audit_trail": lambda s: audit.order_audit_trail(
         s.scan("sales_order"), feeds.orders_after(s), as_of=AS_OF),
@@ -391,6 +392,17 @@ def _streamed_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.stock_levels(spark, goods, target)
 
 
+def _streamed_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per product, as the batches of the stream may be cut in any way."""
+    store, target = star_store(spark, sf_dir), scratch_path(spark, "stock")
+    goods = feeds.roomy(store).scan("product")
+    jobs.stream_stock_ledger(
+        _sales_stream(spark, sf_dir), goods, target, as_of=AS_OF).awaitTermination()
+    return jobs.stock_ledger(spark, target).groupBy("ProductID").agg(
+        F.max("PreviousStock").alias("FirstStock"), F.sum("Quantity").alias("Quantity"),
+        F.min("NewStock").alias("LastStock"))
+
+
 def _streamed_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, target = star_store(spark, sf_dir), scratch_path(spark, "stock")
     goods = feeds.roomy(store).scan("product")
@@ -400,17 +412,18 @@ def _streamed_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _streamed_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changed orders against the order table: re-priced, moved on, deleted, new."""
+    """Changed orders against the order table: re-priced, moved on, deleted, new, or changed twice."""
     store, target = star_store(spark, sf_dir), scratch_path(spark, "audit")
-    changes = feeds.order_changes(order_columns(_raw_stream(spark, sf_dir, "orders")))
+    changes = feeds.order_steps(order_columns(_raw_stream(spark, sf_dir, "orders")))
     jobs.stream_order_audit(
-        changes, store.scan("sales_order"), target, as_of=AS_OF).awaitTermination()
+        changes, store.scan("sales_order"), target, as_of=AS_OF, sequence="Step").awaitTermination()
     return jobs.order_audit_log(spark, target)
 
 
 STREAMS: dict[str, Query] = {
     "stream_sales_metrics": _streamed_metrics,
     "stream_stock_ledger": _streamed_stock,
+    "stream_stock_movements": _streamed_ledger,
     "stream_stock_alerts": _streamed_alerts,
     "stream_order_audit": _streamed_audit,
 }

@@ -131,6 +131,13 @@ def _violations() -> str:
         add(table, name, f"SELECT count(*) FROM {source} x WHERE {column} IS NOT NULL AND "
             f"NOT EXISTS (SELECT 1 FROM {other} y WHERE y.{key} = x.{column})")
 
+    for table, source, keys in (
+            ("category", "f_cat", "CategoryID"), ("product", "f_prod", "ProductID"),
+            ("customer", "f_cust", "CustomerID"), ("shipping_address", "addr", "ShippingAddressID"),
+            ("billing_address", "addr", "BillingAddressID"), ("sales_order", "f_sale", "OrderID OrderDate"),
+            ("order_detail", "f_line", "OrderDetailID"), ("inventory_transaction", "f_led", "TransactionID"),
+            ("product_return", "own_ret", "ReturnID")):
+        missing(table, keys, source, "" if source == "addr" else keys)
     missing("category", "CategoryName IsActive CreatedDate ModifiedDate", "f_cat", "CategoryName")
     failing("category", "not_own_parent", "f_cat", "CategoryID = ParentCategoryID")
     repeated("category", "primary_key", "f_cat", "CategoryID")
@@ -320,13 +327,21 @@ def statements() -> dict[str, str]:
     WHERE OrderDate >= TIMESTAMP '1997-01-01' AND OrderDate < TIMESTAMP '1998-07-01'""",
         "apply_defaults": base("sale") + f"""
     SELECT OrderID, CustomerID,
-           CASE PaymentStatus WHEN 'Failed' THEN 'Pending' ELSE PaymentStatus END
-             AS PaymentStatus,
+           nullif(PaymentStatus, 'Failed') AS PaymentStatus,
            {NOW} AS OrderDate, 'Pending' AS OrderStatus, CAST(0 AS DOUBLE) AS SubTotal,
            CAST(0 AS DOUBLE) AS TaxAmount, CAST(0 AS DOUBLE) AS ShippingAmount,
            CAST(0 AS DOUBLE) AS DiscountAmount, CAST(0 AS DOUBLE) AS TotalAmount,
            {NOW} AS CreatedDate, {NOW} AS ModifiedDate,
-           sha256(OrderID || '|' || CustomerID) AS RowKey
+           sha256('["' || OrderID || '","' || CustomerID || '"]') AS RowKey
+    FROM sale""",
+        "apply_defaults_filled": base("sale") + f"""
+    SELECT OrderID, CustomerID,
+           CASE PaymentStatus WHEN 'Failed' THEN 'Pending' ELSE PaymentStatus END AS PaymentStatus,
+           {NOW} AS OrderDate, 'Pending' AS OrderStatus, CAST(0 AS DOUBLE) AS SubTotal,
+           CAST(0 AS DOUBLE) AS TaxAmount, CAST(0 AS DOUBLE) AS ShippingAmount,
+           CAST(0 AS DOUBLE) AS DiscountAmount, CAST(0 AS DOUBLE) AS TotalAmount,
+           {NOW} AS CreatedDate, {NOW} AS ModifiedDate,
+           sha256('["' || OrderID || '","' || CustomerID || '"]') AS RowKey
     FROM sale""",
         "sequence_keys": base("sale") + """
     SELECT OrderID, OrderDate,
@@ -447,9 +462,21 @@ def statements() -> dict[str, str]:
            CAST(ProductID AS VARCHAR) AS PrimaryKeyValue, 'Stock: ' || old AS OldValues,
            'Stock: ' || new || ' (Below Reorder Level: ' || ReorderLevel || ')' AS NewValues,
            'loader' AS ChangedBy, {AUDIT_TAIL}
-    FROM moved WHERE old > ReorderLevel AND new BETWEEN 0 AND ReorderLevel""",
+    FROM moved WHERE old > ReorderLevel AND new <= ReorderLevel""",
+        "stream_stock_movements": base("prod", "line") + """
+    SELECT p.ProductID, CAST(p.StockQuantity * 10 AS BIGINT) AS FirstStock,
+           -CAST(sum(l.Quantity) AS BIGINT) AS Quantity,
+           CAST(p.StockQuantity * 10 - sum(l.Quantity) AS BIGINT) AS LastStock
+    FROM prod p JOIN line l ON l.ProductID = p.ProductID GROUP BY p.ProductID, p.StockQuantity""",
         "stream_order_audit": base("sale") + ORDERS_AFTER + f"""
-    SELECT 'Order' AS TableName, *, 'loader' AS ChangedBy, {AUDIT_TAIL} FROM trail""",
+    , returned AS (
+      SELECT CAST(OrderID AS VARCHAR) AS k, 'OrderStatus=' || OrderStatus || ', TotalAmount='
+               || TotalAmount AS own, 'OrderStatus=Returned, TotalAmount=' || TotalAmount AS other
+      FROM sale WHERE OrderID % 10 = 6 AND OrderStatus <> 'Returned')
+    SELECT 'Order' AS TableName, *, 'loader' AS ChangedBy, {AUDIT_TAIL} FROM (
+      SELECT * FROM trail
+      UNION ALL SELECT 'UPDATE', k, own, other FROM returned
+      UNION ALL SELECT 'UPDATE', k, other, own FROM returned)""",
     }
 
 

@@ -35,7 +35,13 @@ def order_audit_trail(
     columns = ["OrderID", "CustomerID", "TotalAmount", "OrderStatus"]
     pairs = before.select(*columns).alias("b").join(
         after.select(*columns).alias("a"), F.col("a.OrderID") == F.col("b.OrderID"), "full")
+    return order_audit_of(pairs, as_of=as_of, actor=actor, application=application)
 
+
+def order_audit_of(
+    pairs: DataFrame, *, as_of: datetime, actor: str = "loader", application: str = "tillwise"
+) -> DataFrame:
+    """Audit rows of single changes: ``b`` is the order before, ``a`` after, either may be unknown."""
     def whole(side: str) -> Column:
         return F.concat(
             F.lit("CustomerID="), text(F.col(f"{side}.CustomerID")),
@@ -50,7 +56,7 @@ def order_audit_trail(
     added, removed = F.col("b.OrderID").isNull(), F.col("a.OrderID").isNull()
     changed = (F.col("a.OrderStatus") != F.col("b.OrderStatus")) | (
         F.col("a.TotalAmount") != F.col("b.TotalAmount"))
-    return pairs.where(added | removed | changed).select(*audit_columns(
+    return pairs.where((added != removed) | changed).select(*audit_columns(
         "Order",
         F.when(added, "INSERT").when(removed, "DELETE").otherwise("UPDATE"),
         F.coalesce("a.OrderID", "b.OrderID"),
@@ -111,16 +117,23 @@ def stock_alerts(
         .unionByName(before.join(rejects.select("ProductID"), "ProductID", "left_semi")
                      .select(*after.columns))
     )
+    alerts = alerts_of(sound, as_of=as_of, actor=actor, application=application)
+    return {"products": products, "alerts": alerts, "rejects": rejects}
+
+
+def alerts_of(
+    moved: DataFrame, *, as_of: datetime, actor: str = "loader", application: str = "tillwise"
+) -> DataFrame:
+    """Alerts for products that went from above OldLevel (OldStock) to ReorderLevel or below."""
     crossed = (F.col("StockQuantity") <= F.col("ReorderLevel")) & (
         F.col("OldStock") > F.col("OldLevel"))
-    alerts = sound.where(crossed).select(*audit_columns(
+    return moved.where(crossed).select(*audit_columns(
         "Product", "STOCK_ALERT", F.col("ProductID"),
         F.concat(F.lit("Stock: "), text(F.col("OldStock"))),
         F.concat(F.lit("Stock: "), text(F.col("StockQuantity")),
                  F.lit(" (Below Reorder Level: "), text(F.col("ReorderLevel")), F.lit(")")),
         as_of=as_of, actor=actor, application=application,
     ))
-    return {"products": products, "alerts": alerts, "rejects": rejects}
 
 
 def validate_inventory_ledger(batch: DataFrame, products: DataFrame) -> DataFrame:

@@ -51,6 +51,13 @@ def order_changes(orders: DataFrame) -> DataFrame:
         "OldID % 50 = 9 AND OrderID = OldID AS Deleted")
 
 
+def order_steps(orders: DataFrame) -> DataFrame:
+    """:func:`order_changes` with a Step; every tenth order is returned first and then put back."""
+    steps = F.when(F.col("OrderID") % 10 == 6, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2)))
+    return order_changes(orders).withColumn("Step", F.explode(steps)).withColumn(
+        "OrderStatus", F.when(F.col("Step") == 1, "Returned").otherwise(F.col("OrderStatus")))
+
+
 def products_after(store: Store) -> DataFrame:
     """Products after a day of sales and price changes; some stocks fall below zero."""
     return _edited(

@@ -9,14 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from tillwise.functions.clock import NTZ
 from tillwise.functions.values import or_zero
-from tillwise.operators.audit import order_audit_trail, stock_alerts
+from tillwise.operators.audit import alerts_of, order_audit_of
 
 BATCH = "batch"
 
@@ -67,26 +67,60 @@ def _snapshot_due(batch_id: int) -> bool:
     return (batch_id + 1) % SNAPSHOT_EVERY == 0
 
 
+def _batches(spark: SparkSession, path: str) -> int:
+    """The number of the batch after the last one written below ``path``."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    names = [f.getPath().getName() for f in found]
+    return 1 + max((int(n.partition("=")[2]) for n in names if n.startswith(f"{BATCH}=")), default=-1)
+
+
+def _written(spark: SparkSession, path: str) -> DataFrame | None:
+    """All that counts below ``path``: the last snapshot and the batches after it."""
+    return _history(spark, path, _batches(spark, path))
+
+
+def _instant(local: Column) -> Column:
+    """A zone-free time as the instant it names in UTC, whatever the session's zone."""
+    days = F.datediff(F.to_date(local), F.lit("1970-01-01").cast("date"))
+    return F.timestamp_seconds(
+        days * 86400 + F.hour(local) * 3600 + F.minute(local) * 60 + F.second(local))
+
+
+def _day_of(instant: Column) -> Column:
+    days = F.floor(F.unix_seconds(instant) / 86400).cast("int")
+    return (F.lit("1970-01-01").cast(NTZ) + F.make_dt_interval(days)).cast(NTZ)
+
+
 def stream_sales_metrics(
-    orders: DataFrame, target: str, *, lateness: str = "2 days", available_now: bool = True
+    orders: DataFrame, target: str, *, lateness: str, available_now: bool = True
 ) -> StreamingQuery:
     """Orders and revenue per day and status.
 
     Every batch writes the groups it changed. An order that comes later than
-    ``lateness`` behind the newest one seen is left out.
+    ``lateness`` behind the newest one seen is left out and counted:
+    :func:`late_rows` has the counts.
     """
     live = (
-        orders.withColumn("At", F.col("OrderDate").cast("timestamp"))
+        orders.withColumn("At", _instant(F.col("OrderDate")))
         .withWatermark("At", lateness)
         .groupBy(F.window("At", "1 day").alias("Day"), "OrderStatus")
         .agg(F.count("*").alias("Orders"), F.sum("TotalAmount").alias("Revenue"))
-        .select(F.col("Day.start").cast(NTZ).alias("Day"), "OrderStatus", "Orders", "Revenue")
+        .select(_day_of(F.col("Day.start")).alias("Day"), "OrderStatus", "Orders", "Revenue")
     )
     return _start(
         live, lambda batch, n: _write(batch, f"{target}/metrics", n), f"{target}/checkpoint",
         "update", available_now)
 
 
+def late_rows(query: StreamingQuery) -> dict[int, int]:
+    """Rows left out as late, by batch, over the progress the query still holds."""
+    return {
+        p["batchId"]: sum(s.get("numRowsDroppedByWatermark", 0) for s in p["stateOperators"])
+        for p in query.recentProgress
+    }
+
+
 def sales_metrics(spark: SparkSession, target: str) -> DataFrame:
     """The latest state of each group :func:`stream_sales_metrics` has written."""
     return (
@@ -105,27 +139,28 @@ def stream_stock_ledger(
     ``moves`` has ProductID and Quantity. A batch adds up its movements per
     product before they are shuffled, so a product with most of the movements
     costs no more than another, and changes the stock of the products it
-    touches. Alerts compare the stock before and after a batch, as a table
-    trigger compares it before and after a statement. A stock below zero is
-    kept and listed, since the goods are gone already.
+    touches: a row of ``ledger`` each. Alerts compare the stock before and
+    after a batch, as a table trigger compares it before and after a statement.
+    A stock below zero is kept and listed, since the goods are gone already,
+    and alerts like any other that falls to its level.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        net = batch.groupBy("ProductID").agg(F.sum("Quantity").alias("Net"))
+        net = batch.groupBy("ProductID").agg(F.sum("Quantity").cast("long").alias("Net"))
         _write(net, f"{target}/net", batch_id)
+        fresh = spark.read.parquet(f"{target}/net/{BATCH}={batch_id}")
+        base = products.select(
+            "ProductID", F.col("StockQuantity").cast("long").alias("OldStock"), "ReorderLevel",
+        ).join(fresh, "ProductID").withColumn("OldLevel", F.col("ReorderLevel"))
         earlier = _summed(_history(spark, f"{target}/net", batch_id))
-        base = products.select("ProductID", "Price", "StockQuantity", "ReorderLevel",
-                               "ModifiedDate")
         if earlier is not None:
-            base = base.join(earlier, "ProductID", "left").withColumn(
-                "StockQuantity", F.col("StockQuantity") + or_zero(F.col("Net"))).drop("Net")
-        fresh = spark.read.parquet(f"{target}/net/{BATCH}={batch_id}")
-        before = base.join(fresh.select("ProductID"), "ProductID", "left_semi")
-        after = base.join(fresh, "ProductID").withColumn(
-            "StockQuantity", F.col("StockQuantity") + F.col("Net")).drop("Net")
-        made = stock_alerts(before, after, as_of=as_of)
-        _write(made["alerts"], f"{target}/alerts", batch_id)
-        _write(made["rejects"], f"{target}/negative", batch_id)
+            base = base.join(earlier.withColumnRenamed("Net", "Before"), "ProductID", "left").withColumn(
+                "OldStock", F.col("OldStock") + or_zero(F.col("Before")))
+        moved = base.withColumn("StockQuantity", F.col("OldStock") + F.col("Net"))
+        _write(moved.select("ProductID", F.col("Net").alias("Quantity"), F.col("OldStock").alias("PreviousStock"),
+                            F.col("StockQuantity").alias("NewStock")), f"{target}/ledger", batch_id)
+        _write(alerts_of(moved, as_of=as_of), f"{target}/alerts", batch_id)
+        _write(moved.where("StockQuantity < 0").select("ProductID", "StockQuantity"), f"{target}/negative", batch_id)
         if _snapshot_due(batch_id):
             _write(_summed(_history(spark, f"{target}/net", batch_id + 1)),
                    f"{target}/net_snapshot", batch_id)
@@ -140,7 +175,7 @@ def _summed(history: DataFrame | None) -> DataFrame | None:
 
 def stock_levels(spark: SparkSession, products: DataFrame, target: str) -> DataFrame:
     """Stock of every product after the batches written so far."""
-    net = spark.read.parquet(f"{target}/net").groupBy("ProductID").agg(F.sum("Net").alias("Net"))
+    net = _summed(_written(spark, f"{target}/net"))
     return products.select("ProductID", "StockQuantity", "ReorderLevel").join(
         net, "ProductID", "left"
     ).select(
@@ -150,35 +185,49 @@ def stock_levels(spark: SparkSession, products: DataFrame, target: str) -> DataF
     )
 
 
+def stock_ledger(spark: SparkSession, target: str) -> DataFrame:
+    """What each batch did to the stock of each product it touched."""
+    return spark.read.parquet(f"{target}/ledger").drop(BATCH)
+
+
 def stock_alert_log(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.parquet(f"{target}/alerts").drop(BATCH)
 
 
 def stream_order_audit(
-    changes: DataFrame, before: DataFrame, target: str, *, as_of: datetime,
+    changes: DataFrame, before: DataFrame, target: str, *, as_of: datetime, sequence: str,
     available_now: bool = True,
 ) -> StreamingQuery:
     """Audit rows from a stream of changed orders.
 
-    A change carries OrderID, Deleted, and the order's new CustomerID,
-    TotalAmount and OrderStatus. ``before`` is the table the stream starts
-    from; each order is held against its state after the batch before.
-    A batch has at most one change per order.
+    A change carries OrderID, Deleted, the order's new CustomerID, TotalAmount
+    and OrderStatus, and its place among the order's changes in the column
+    ``sequence``. ``before`` is the table the stream starts from. A change is
+    held against the one before it, in the same batch or in an earlier one.
     """
     columns = ["OrderID", "CustomerID", "TotalAmount", "OrderStatus"]
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        _write(batch.select(*columns, "Deleted"), f"{target}/changes", batch_id)
+        _write(batch.select(*columns, "Deleted", F.col(sequence).alias("Sequence")),
+               f"{target}/changes", batch_id)
         fresh = spark.read.parquet(f"{target}/changes/{BATCH}={batch_id}")
-        was = before.select(*columns)
-        seen = _latest(_history(spark, f"{target}/changes", batch_id), columns)
-        if seen is not None:
+        touched = fresh.select("OrderID").distinct()
+        was = before.select(*columns).join(touched, "OrderID", "left_semi")
+        history = _history(spark, f"{target}/changes", batch_id)
+        if history is not None:
+            seen = _latest(history.join(touched, "OrderID", "left_semi"), columns)
             kept = seen.where(~F.col("Deleted")).select(*columns)
             was = was.join(seen, "OrderID", "left_anti").unionByName(kept)
-        old = was.join(fresh.select("OrderID"), "OrderID", "left_semi")
-        new = fresh.where(~F.col("Deleted")).select(*columns)
-        _write(order_audit_trail(old, new, as_of=as_of), f"{target}/audit", batch_id)
+        turn = Window.partitionBy("OrderID").orderBy("Sequence")
+        state = F.when(~F.col("Deleted"), F.struct(*columns))
+        steps = fresh.select(
+            "OrderID", state.alias("a"), F.lag(state).over(turn).alias("earlier"),
+            (F.row_number().over(turn) == 1).alias("first"))
+        held = was.select(F.col("OrderID").alias("_id"), F.struct(*columns).alias("held"))
+        pairs = steps.join(held, steps["OrderID"] == held["_id"], "left").select(
+            "a", F.when(F.col("first"), F.col("held")).otherwise(F.col("earlier")).alias("b"))
+        _write(order_audit_of(pairs, as_of=as_of), f"{target}/audit", batch_id)
         if _snapshot_due(batch_id):
             _write(_latest(_history(spark, f"{target}/changes", batch_id + 1), columns),
                    f"{target}/changes_snapshot", batch_id)
@@ -191,7 +240,7 @@ def _latest(history: DataFrame | None, columns: list[str]) -> DataFrame | None:
     if history is None:
         return None
     return history.groupBy("OrderID").agg(
-        F.max_by(F.struct(*columns[1:], "Deleted"), BATCH).alias("Now")
+        F.max_by(F.struct(*columns[1:], "Deleted", "Sequence"), F.struct(BATCH, "Sequence")).alias("Now")
     ).select("OrderID", "Now.*")
 
 
