@@ -141,6 +141,36 @@ def test_unknown_passes_checks(empty, spark):
     assert found == {"primary_key": 2, "category_name": 2}
 
 
+def test_keys_must_be_known(empty, spark):
+    rows = spark.createDataFrame([(None, "A"), (None, "B"), (3, None)], "CategoryID int, CategoryName string")
+    table = prep.apply_defaults(rows.withColumn("ParentCategoryID", F.lit(None).cast("int")), "category", as_of=AS_OF)
+    made = quality.constraint_violations(empty.replacing(category=table), ["category"])
+    found = {r.ConstraintName: r.ViolatingRows for r in made.collect() if r.ViolatingRows}
+    assert found == {"primary_key": 2, "CategoryID_required": 2, "CategoryName_required": 1}
+
+
+def test_defaults_do_not_hide_unknown_values(spark):
+    rows = spark.createDataFrame([("A", None)], "CategoryName string, IsActive boolean")
+    assert prep.apply_defaults(rows, "category", as_of=AS_OF).first().IsActive is None
+    assert prep.apply_defaults(rows, "category", as_of=AS_OF, fill_unknown=True).first().IsActive is True
+
+
+def test_hash_keys_differ(spark):
+    rows = spark.createDataFrame([("a", None, "b"), ("a", "b", None), ("a|b", "", None), ("a", "|b", None), (None, "a", "b")],
+                                 "x string, y string, z string")
+    assert prep.with_hash_key(rows, "k", "x", "y", "z").select("k").distinct().count() == 5
+
+
+def test_key_is_not_in_the_plan(spark, capsys):
+    key = "0123456789abcdef"
+    people = spark.createDataFrame([(1, "a@b.c", "555")], "CustomerID int, Email string, PhoneNumber string").repartition(2)
+    shown = privacy.reveal_customer_pii(privacy.protect_customer_pii(people, key), key)
+    assert shown.first().Email == "a@b.c"
+    shown.explain(True)
+    shown.explain("formatted")
+    assert key not in capsys.readouterr().out
+
+
 def test_order_audit_kinds(spark):
     before = order_rows(spark, [("A", "C1", AS_OF, "Pending", "1"), ("B", "C1", AS_OF, "Pending", "2"),
                                 ("C", "C1", AS_OF, "Pending", "3")])

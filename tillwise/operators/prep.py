@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tillwise import model
 from tillwise.functions.clock import ts
-from tillwise.plans.skew import HOT_ROWS, per_key
+from tillwise.plans.skew import HOT_ROWS, numbered
 
 
 def with_category_level(df: DataFrame) -> DataFrame:
@@ -41,12 +41,12 @@ def with_email_hash(df: DataFrame) -> DataFrame:
 
 def apply_defaults(
     df: DataFrame, table: str, *, as_of: datetime, actor: str = "loader",
-    application: str = "tillwise", fill_unknown: bool = True,
+    application: str = "tillwise", fill_unknown: bool = False,
 ) -> DataFrame:
     """``df`` with the default of every column the table has one for.
 
-    A missing column gets its default. With ``fill_unknown`` an unknown value
-    in a column that is there gets it too.
+    A missing column gets its default; an unknown value that was given stays
+    unknown. With ``fill_unknown`` such a value gets the default too.
     """
     marks = {model.AS_OF: ts(as_of), model.ACTOR: F.lit(actor),
              model.APPLICATION: F.lit(application)}
@@ -62,22 +62,21 @@ def apply_defaults(
 
 
 def with_hash_key(df: DataFrame, name: str, *natural: str) -> DataFrame:
-    """A surrogate key that the same row gets on every run."""
-    return df.withColumn(name, F.sha2(F.concat_ws("|", *natural), 256))
+    """A surrogate key that the same row gets on every run.
+
+    Different values, unknown ones included, never give the same text.
+    """
+    values = F.to_json(F.array(*[F.col(c).cast("string") for c in natural]))
+    return df.withColumn(name, F.sha2(values, 256))
 
 
 def with_sequence_key(
     df: DataFrame, name: str, order: Sequence[Column], *, after: int = 0,
-    hot_rows: int = HOT_ROWS,
+    piece_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Whole numbers from ``after`` + 1 in ``order``, without gaps.
-
-    All rows are one group here; above ``hot_rows`` it is numbered piece by
-    piece over a range sort.
-    """
-    numbered = per_key(
-        df.withColumn("_all", F.lit(1)), ["_all"], order, rank="_nth", hot_rows=hot_rows)
-    return numbered.withColumn(name, F.col("_nth") + after).drop("_all", "_nth")
+    """Whole numbers from ``after`` + 1 in ``order``, without gaps."""
+    return numbered(df, order, "_nth", piece_rows=piece_rows).withColumn(
+        name, (F.col("_nth") + after).cast("long")).drop("_nth")
 
 
 def order_bucket(order_date: Column, boundaries: Sequence[datetime]) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from datetime import datetime
 from functools import reduce
 
@@ -13,6 +13,7 @@ from tillwise import model
 from tillwise.functions.clock import ts
 from tillwise.functions.values import money, not_cancelled, or_zero, text
 from tillwise.operators.audit import audit_columns
+from tillwise.session import cut_lineage
 from tillwise.store import Store
 
 # The checks by name, with severity, table and text.
@@ -141,45 +142,71 @@ def fix_data_integrity(
 def constraint_violations(store: Store, tables: Iterable[str] | None = None) -> DataFrame:
     """Rows breaking each rule of the model: required, check, unique and reference.
 
-    One pass per table counts its required columns and checks. Uniqueness and
-    references are counted on groups of equal keys, so many equal keys cost
-    one row.
+    Keys and required columns must be known. One pass per table counts those
+    and the checks; another lists, for each of its rows, the keys its unique
+    rules and references speak of, and counts equal ones before they meet, so
+    many equal keys cost one row. All references are held against all listed
+    keys in one join.
     """
-    parts: list[DataFrame] = []
+    counts: list[DataFrame] = []
+    listed: list[DataFrame] = []
+    rules: list[tuple[str, str]] = []
+    chosen = [t for t in (model.TABLES if tables is None else tables) if t in store]
+    references = {
+        t: {n: r for n, r in model.REFERENCES.get(t, {}).items() if r[1] in store} for t in chosen}
+    targets = {(r[1], r[2]) for named in references.values() for r in named.values()}
 
-    def listed(table: str, counts: DataFrame) -> DataFrame:
-        rows = [
-            F.struct(F.lit(table).alias("TableName"), F.lit(name).alias("ConstraintName"),
-                     F.col(f"`{name}`").cast("long").alias("ViolatingRows"))
-            for name in counts.columns
-        ]
-        return counts.select(F.inline(F.array(*rows)))
+    def key(columns: Sequence[str]) -> Column:
+        return F.to_json(F.array(*[F.col(c).cast("string") for c in columns]))
+
+    def entry(kind: str, name: str, columns: Sequence[str], of: str = "") -> Column:
+        return F.struct(F.lit(kind).alias("Kind"), F.lit(name).alias("ConstraintName"),
+                        F.lit(of).alias("Of"), key(columns).alias("Key"))
+
+    def name_of(table: str, columns: Sequence[str]) -> str:
+        return f"{table}({','.join(columns)})"
 
-    for table in model.TABLES if tables is None else tables:
-        if table not in store:
-            continue
-        required, checks = model.REQUIRED[table], model.CHECKS.get(table, {})
-        df = store.scan(table)
-        parts.append(listed(table, df.agg(
-            *[F.count_if(F.col(c).isNull()).alias(f"{c}_required") for c in required],
-            *[F.count_if(~F.coalesce(F.expr(rule), F.lit(True))).alias(name)
-              for name, rule in checks.items()],
-        )))
-        unique = {"primary_key": model.PRIMARY_KEYS[table], **model.UNIQUE_KEYS.get(table, {})}
-        for name, columns in unique.items():
-            keys = store.scan(table, *columns).groupBy(*columns).agg(F.count("*").alias("n"))
-            parts.append(listed(table, keys.agg(_count(F.col("n") > 1, F.col("n")).alias(name))))
-        for name, (own, other, theirs) in model.REFERENCES.get(table, {}).items():
-            if other not in store:
-                continue
-            used = store.scan(table, *own).where(
-                reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in own])
-            ).groupBy(*own).agg(F.count("*").alias("n"))
-            listed_keys = store.scan(other, *theirs).distinct().toDF(*[f"_{c}" for c in own])
-            match = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_{c}") for c in own])
-            parts.append(listed(table, used.join(listed_keys, match, "left_anti").agg(
-                F.coalesce(F.sum("n"), F.lit(0)).alias(name))))
-    return reduce(DataFrame.unionByName, parts)
+    for table in sorted({*chosen, *(t for t, _ in targets)}):
+        entries, used = [], set()
+        if table in chosen:
+            required = dict.fromkeys((*model.PRIMARY_KEYS[table], *model.REQUIRED[table]))
+            checks = model.CHECKS.get(table, {})
+            found = store.scan(table).agg(
+                *[F.count_if(F.col(c).isNull()).alias(f"{c}_required") for c in required],
+                *[F.count_if(~F.coalesce(F.expr(rule), F.lit(True))).alias(name)
+                  for name, rule in checks.items()])
+            counts.append(found.select(F.inline(F.array(*[
+                F.struct(F.lit(table).alias("TableName"), F.lit(name).alias("ConstraintName"),
+                         F.col(f"`{name}`").cast("long").alias("ViolatingRows"))
+                for name in found.columns]))))
+            for name, columns in {"primary_key": model.PRIMARY_KEYS[table],
+                                  **model.UNIQUE_KEYS.get(table, {})}.items():
+                entries.append(entry("unique", name, columns))
+                used |= set(columns)
+                rules.append((table, name))
+            for name, (own, other, theirs) in references[table].items():
+                known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in own])
+                entries.append(F.when(known, entry("reference", name, own, name_of(other, theirs))))
+                used |= set(own)
+                rules.append((table, name))
+        for other, theirs in sorted(targets):
+            if other == table:
+                entries.append(entry("target", "", theirs, name_of(table, theirs)))
+                used |= set(theirs)
+        rows = store.scan(table, *sorted(used)).select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
+        listed.append(rows.groupBy("e").agg(F.count("*").alias("n")).select(
+            F.lit(table).alias("TableName"), "e.*", "n"))
+    keys = cut_lineage(reduce(DataFrame.unionByName, listed))
+    target = keys.where("Kind = 'target'").select(F.col("Of").alias("_of"), F.col("Key").alias("_key"))
+    used_keys = keys.where("Kind = 'reference'")
+    broken = keys.where("Kind = 'unique' AND n > 1").select("TableName", "ConstraintName", "n").union(
+        used_keys.join(target, (F.col("Of") == F.col("_of")) & (F.col("Key") == F.col("_key")), "left_anti")
+        .select("TableName", "ConstraintName", "n"))
+    sums = broken.groupBy("TableName", "ConstraintName").agg(F.sum("n").alias("Broken"))
+    all_rules = store.spark.createDataFrame(rules, "TableName string, ConstraintName string")
+    counts.append(all_rules.join(sums, ["TableName", "ConstraintName"], "left").select(
+        "TableName", "ConstraintName", F.coalesce("Broken", F.lit(0)).cast("long").alias("ViolatingRows")))
+    return reduce(DataFrame.unionByName, counts)
 
 
 def recompute_order_totals(

@@ -116,7 +116,7 @@ def _validated_in_total(
     store: Store, joined: DataFrame, checks: dict[str, Column], columns: list[str]
 ) -> DataFrame:
     """All returns of a line together stay within what was ordered."""
-    line = F.concat_ws("|", "OrderID", "ProductID")
+    line = F.to_json(F.array(F.col("OrderID").cast("string"), F.col("ProductID").cast("string")))
     earlier = (
         store.scan("product_return", "OrderID", "ProductID", "ReturnQuantity", "ReturnStatus")
         .where("ReturnStatus IN ('Approved', 'Processed')")
