@@ -5,6 +5,7 @@ from __future__ import annotations
 import secrets
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -208,7 +209,7 @@ def _validated_orders(store: Store) -> DataFrame:
 
 def _priced(store: Store) -> DataFrame:
     requests = feeds.order_requests(store)
-    items = orders.parse_order_items(requests, product_type="bigint").where("IsValid")
+    items = orders.parse_order_items(requests, product_type="bigint")
     return orders.price_orders(requests, items)
 
 
@@ -261,7 +262,26 @@ def _returned(part: str, *columns: str, corrected: bool = False) -> Callable[[St
     return run
 
 
+def _detailed_report(store: Store) -> DataFrame:
+    """All result sets of the detailed report under one another: what each row is about, and its revenue."""
+    label = {"category": "CategoryID", "product": "ProductID", "monthly": "Period"}
+    revenue = {"category": "TotalRevenue", "product": "TotalRevenue", "monthly": "MonthlyRevenue"}
+    made = reports.sales_report(store, "Detailed", **ALL)
+    return reduce(DataFrame.unionByName, [
+        frame.select(F.lit(name).alias("ResultSet"), F.col(label[name]).cast("string").alias("Label"),
+                     F.col(revenue[name]).cast("double").alias("Revenue"))
+        for name, frame in made.items()])
+
+
 OPERATORS: dict[str, Callable[[Store], DataFrame]] = {
+    "sales_report_detailed": _detailed_report,
+    "sales_report_product_filtered":
+        lambda s: reports.sales_report_product(s, category_id=7, **ALL),
+    "sales_report_category_filtered":
+        lambda s: reports.sales_report_category(s, category_id=7, **ALL),
+    "low_stock_products_available":
+        lambda s: reports.low_stock_products(s, as_of=AS_OF, include_out_of_stock=False),
+    "customer_order_history_split": lambda s: views.customer_order_history(s, hot_rows=120),
     "sales_report_summary": lambda s: reports.sales_report_summary(s, **ALL),
     "sales_report_summary_last_30_days": lambda s: reports.sales_report_summary(s, as_of=AS_OF),
     "sales_report_summary_corrected":

@@ -580,8 +580,27 @@ def _functions() -> dict[str, str]:
     }
 
 
+def _variants(made: dict[str, str]) -> dict[str, str]:
+    """Options of reports as filters on the whole reports, and the same work done another way."""
+    sets = [("category", "CategoryID", "TotalRevenue"), ("product", "ProductID", "TotalRevenue"),
+            ("monthly", "Period", "MonthlyRevenue")]
+    of_category = base("cat", "prod") + " SELECT ProductID FROM prod WHERE CategoryID = 7"
+    return {
+        "sales_report_detailed": " UNION ALL ".join(
+            f"SELECT '{name}' AS ResultSet, CAST({label} AS VARCHAR) AS Label, {revenue} AS Revenue"
+            f" FROM ({made[f'sales_report_{name}']})" for name, label, revenue in sets),
+        "sales_report_category_filtered":
+            f"SELECT * FROM ({made['sales_report_category']}) WHERE CategoryID = 7",
+        "sales_report_product_filtered":
+            f"SELECT * FROM ({made['sales_report_product']}) WHERE ProductID IN ({of_category})",
+        "low_stock_products_available":
+            f"SELECT * FROM ({made['low_stock_products']}) WHERE StockQuantity > 0",
+        "customer_order_history_split": made["customer_order_history"],
+    }
+
+
 def statements() -> dict[str, str]:
     made: dict[str, str] = {}
     for group in (_reports, _views, _functions):
         made.update(group())
-    return made
+    return made | _variants(made)

@@ -230,7 +230,7 @@ def statements() -> dict[str, str]:
         "price_orders": asked + """
     , s AS (
       SELECT OrderID AS k, CAST(sum(Quantity * UnitPrice) AS DECIMAL(12,4)) AS v
-      FROM good WHERE IsValid GROUP BY 1
+      FROM good GROUP BY 1 HAVING bool_and(IsValid)
     ), t AS (
       SELECT r.*, v, CAST(v * TaxRate AS DECIMAL(12,4)) AS tax FROM req r JOIN s ON k = OrderID)
     SELECT OrderID, CAST(v AS DOUBLE) AS SubTotal, CAST(tax AS DOUBLE) AS TaxAmount,

@@ -114,9 +114,12 @@ def validate_orders(store: Store, requests: DataFrame) -> DataFrame:
 
 
 def price_orders(requests: DataFrame, items: DataFrame) -> DataFrame:
-    """Subtotal, tax and total of the requests that have items."""
+    """Subtotal, tax and total of the requests that have items, all of them valid."""
+    valid = F.col("IsValid") if "IsValid" in items.columns else F.lit(True)
     subtotals = items.groupBy("OrderID").agg(
-        money(F.sum(money(F.col("Quantity") * F.col("UnitPrice")))).alias("SubTotal"))
+        money(F.sum(money(F.col("Quantity") * F.col("UnitPrice")))).alias("SubTotal"),
+        F.bool_and(valid).alias("Whole"),
+    ).where("Whole").drop("Whole")
     rate = F.coalesce("TaxRate", F.lit(model.DEFAULT_TAX_RATE)).cast("decimal(5,4)")
     shipping, discount = (money(or_zero(F.col(c))) for c in ("ShippingAmount", "DiscountAmount"))
     return (
