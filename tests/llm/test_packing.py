@@ -31,6 +31,27 @@ def test_encode_is_the_tokenizers(texts):
         assert got.tolist() == ids(text)
 
 
+def test_words_of_the_corpus_and_the_vocabulary():
+    import pyarrow.parquet as pq
+
+    units = set()
+    for text in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).to_pylist():
+        units |= set(packing.LETTERS.findall(text.lower()))
+    units |= {t[:-4] for t in REAL.get_vocab() if t.endswith("</w>") and packing.LETTERS.fullmatch(t[:-4])}
+    units = sorted(units)
+    made = packing.ids_of(units, PATH)
+    want = REAL.encode_batch_fast(units, add_special_tokens=False)
+    assert len(units) > 100_000
+    assert all(a == np.array(b.ids, dtype=np.uint32).tobytes() for a, b in zip(made, want, strict=True))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="abcdefghiéüßñ", min_size=1, max_size=30), min_size=1, max_size=20))
+def test_any_letters(units):
+    made = packing.ids_of(units, PATH)
+    assert all(np.frombuffer(a, dtype=np.uint32).tolist() == ids(u) for a, u in zip(made, units, strict=True))
+
+
 def test_special_names_and_full_cache(monkeypatch):
     monkeypatch.setattr(packing, "CACHED", 3)
     for text in ["a <|endoftext|> b", "x<|ENDOFTEXT|>y", "It's. O'Neil, 'twas 12,5 a.b.c U.S.A.", "don't won't we'll. they're,"]:
