@@ -49,12 +49,12 @@ WITH texts AS (
     SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS body FROM documents
 ), spans AS ({" UNION ALL ".join(each)}
 ), kept AS (
-    SELECT row_no, kind_no, CAST(span.at AS BIGINT) AS at,
+    SELECT row_no, kind_no, CAST(span.at AS BIGINT) AS begin_,
         kind || ':' || CAST(span.at AS BIGINT) || ':' || CAST(span.at + span.size AS BIGINT) AS told
     FROM spans WHERE span.told >= CASE kind_no {least} END
 )
 SELECT any_value(doc_id) AS doc_id, {counts},
-    sha256(coalesce(string_agg(told, ',' ORDER BY at, kind_no) FILTER (kind_no < {len(BASE)}), '')) AS base_sha256,
-    coalesce(string_agg(told, ',' ORDER BY at, kind_no), '') AS spans
+    sha256(coalesce(string_agg(told, ',' ORDER BY begin_, kind_no) FILTER (kind_no < {len(BASE)}), '')) AS base_sha256,
+    coalesce(string_agg(told, ',' ORDER BY begin_, kind_no), '') AS spans
 FROM texts LEFT JOIN kept USING (row_no) GROUP BY row_no
 """
