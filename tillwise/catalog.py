@@ -222,9 +222,13 @@ def _allocated(part: str) -> Callable[[Store], DataFrame]:
     return run
 
 
+def _process(store: Store) -> dict[str, DataFrame]:
+    return orders.process_orders(feeds.roomy(store, 30), feeds.order_requests(store), as_of=AS_OF)
+
+
 def _processed(store: Store) -> DataFrame:
     """Every request with its total or what was wrong with it."""
-    made = orders.process_orders(feeds.roomy(store), feeds.order_requests(store), as_of=AS_OF)
+    made = _process(store)
     taken = made["orders"].select(
         "OrderID", "OrderStatus", "TotalAmount", F.lit(None).cast("string").alias("ErrorMessage"))
     return taken.unionByName(made["rejects"].select(
@@ -232,12 +236,6 @@ def _processed(store: Store) -> DataFrame:
         F.lit(None).cast("decimal(12,4)").alias("TotalAmount"), "ErrorMessage"))
 
 
-def _processed_ledger(store: Store) -> DataFrame:
-    return orders.process_orders(
-        feeds.roomy(store), feeds.order_requests(store), as_of=AS_OF)["ledger"].drop(
-        "TransactionID")
-
-
 def _adjusted(part: str, *columns: str) -> Callable[[Store], DataFrame]:
     def run(store: Store) -> DataFrame:
         made = inventory.apply_inventory_adjustments(
@@ -362,7 +360,10 @@ OPERATORS: dict[str, Callable[[Store], DataFrame]] = {
     "allocate_orders": _allocated("outcomes"),
     "allocate_orders_products": _allocated("products"),
     "process_orders": _processed,
-    "process_orders_ledger": _processed_ledger,
+    "process_orders_ledger": lambda s: _process(s)["ledger"].drop("TransactionID"),
+    "process_orders_details": lambda s: _process(s)["details"],
+    "process_orders_products":
+        lambda s: _process(s)["products"].select("ProductID", "StockQuantity", "ModifiedDate"),
     "apply_inventory_adjustments": _adjusted("ledger"),
     "apply_inventory_adjustments_products":
         _adjusted("products", "ProductID", "StockQuantity", "ModifiedDate"),

@@ -179,6 +179,71 @@ REPLAY = """
         GROUP BY n))"""
 
 
+# Requests that pass every check but those of stock and addresses take their
+# turn; only those asking for a product that may run short need a step. A
+# request with a wrong address meets the stock and leaves it as it is.
+TURNS = """
+    , wanted AS (
+      SELECT OrderID, ProductID, sum(Quantity) AS q, bool_and(IsValid) AS sound
+      FROM good GROUP BY ALL
+    ), flags AS (
+      SELECT w.OrderID, bool_and(w.sound) AS sound, bool_or(p.ProductID IS NULL) AS unknown
+      FROM wanted w LEFT JOIN prod p ON p.ProductID = w.ProductID AND p.IsActive GROUP BY 1
+    ), seen AS MATERIALIZED (
+      SELECT r.*, l.CreatedDate AS RequestDate,
+             NOT EXISTS (SELECT 1 FROM cust c WHERE c.CustomerID = r.CustomerID AND c.IsActive)
+               AS nobody,
+             coalesce(NOT json_valid(r.items) OR NOT f.sound, false) AS malformed,
+             f.OrderID IS NULL AS bare, coalesce(f.unknown, false) AS unknown,
+             r.ship IS NOT NULL AND NOT EXISTS (
+               SELECT 1 FROM addr a WHERE a.AddressID = r.ship AND a.CustomerID = r.CustomerID
+                 AND a.IsActive) AS no_ship,
+             r.bill IS NOT NULL AND NOT EXISTS (
+               SELECT 1 FROM addr a WHERE a.AddressID = r.bill AND a.CustomerID = r.CustomerID
+                 AND a.IsActive) AS no_bill
+      FROM req r JOIN line l ON l.OrderDetailID = r.OrderID
+      LEFT JOIN flags f ON f.OrderID = r.OrderID
+    ), fit AS MATERIALIZED (
+      SELECT w.OrderID, s.RequestDate, s.no_ship OR s.no_bill AS mis, w.ProductID, w.q
+      FROM seen s JOIN wanted w ON w.OrderID = s.OrderID
+      WHERE NOT (s.nobody OR s.malformed OR s.bare OR s.unknown)
+    ), tight AS MATERIALIZED (
+      SELECT p.ProductID, CAST(any_value(p.StockQuantity) * 30 AS BIGINT) AS stock
+      FROM fit f JOIN prod p ON p.ProductID = f.ProductID
+      GROUP BY 1 HAVING sum(f.q) > stock
+    ), unit AS MATERIALIZED (
+      SELECT row_number() OVER (ORDER BY RequestDate, OrderID) - 1 AS n, OrderID,
+             list({p: ProductID, q: q, m: mis}) AS items
+      FROM fit WHERE ProductID IN (SELECT ProductID FROM tight) GROUP BY RequestDate, OrderID
+    ), page AS MATERIALIZED (
+      SELECT n // 128 AS no, list(items ORDER BY n) AS units FROM unit GROUP BY 1
+    ), run(k, v) USING KEY (k) AS (
+      SELECT ProductID, stock FROM tight
+      UNION ALL SELECT -1, CAST(0 AS BIGINT)
+      UNION
+      SELECT unnest(list_concat(
+               [{k: -1, v: n + 1}],
+               CASE WHEN NOT fits THEN [{k: -1000 - n, v: CAST(0 AS BIGINT)}]
+                    WHEN mis THEN rest[1:0] ELSE rest END),
+             recursive := true)
+      FROM (
+        SELECT n, bool_and(s.v >= u.q) AS fits, bool_or(u.m) AS mis,
+               list({k: u.p, v: CAST(s.v - u.q AS BIGINT)}) AS rest
+        FROM (SELECT t.v AS n, unnest(g.units[t.v % 128 + 1], recursive := true)
+              FROM run t JOIN page g ON g.no = t.v // 128 WHERE t.k = -1) u
+        LEFT JOIN recurring.run s ON s.k = u.p
+        GROUP BY n)
+    ), refused AS MATERIALIZED (
+      SELECT u.OrderID FROM unit u JOIN run r ON r.k = -1000 - u.n
+    ), taken AS MATERIALIZED (
+      SELECT DISTINCT OrderID FROM fit
+      WHERE NOT mis AND OrderID NOT IN (SELECT OrderID FROM refused)
+    ), sold AS (
+      SELECT f.*, CAST(p.StockQuantity * 30 - sum(f.q) OVER (
+               PARTITION BY f.ProductID ORDER BY f.RequestDate, f.OrderID) AS BIGINT) AS rest
+      FROM fit f JOIN taken USING (OrderID) JOIN prod p ON p.ProductID = f.ProductID)"""
+
+
 def _recursive(head: str) -> str:
     return head.replace("WITH ", "WITH RECURSIVE ", 1)
 
@@ -192,7 +257,43 @@ def statements() -> dict[str, str]:
     closing = base("prod", "sale", "ret") + CLOSING
     added = _recursive(base("sale", "ret")) + ADDED_UP
     replay = _recursive(base("prod", "sale", "line")) + REPLAY
+    turns = _recursive(base("prod", "cust", "addr", "line")) + REQUESTS + TURNS
     return {
+        "process_orders": turns + """
+    , s AS (
+      SELECT OrderID AS k, CAST(sum(Quantity * UnitPrice) AS DECIMAL(12,4)) AS v
+      FROM good GROUP BY 1)
+    SELECT e.OrderID, CASE WHEN t.OrderID IS NULL THEN 'Rejected' ELSE 'Pending' END AS OrderStatus,
+           CASE WHEN t.OrderID IS NOT NULL
+                THEN CAST(v + CAST(v * TaxRate AS DECIMAL(12,4)) + 5.99 - off AS DOUBLE) END
+             AS TotalAmount,
+           CASE WHEN t.OrderID IS NOT NULL THEN NULL
+                WHEN nobody THEN 'Customer not found or inactive.'
+                WHEN malformed THEN 'Malformed order items.'
+                WHEN bare THEN 'Order has no items.'
+                WHEN unknown THEN 'One or more products are invalid or inactive.'
+                WHEN e.OrderID IN (SELECT OrderID FROM refused)
+                THEN 'Insufficient inventory for one or more products.'
+                WHEN no_ship THEN 'Invalid shipping address.'
+                ELSE 'Invalid billing address.' END AS ErrorMessage
+    FROM seen e LEFT JOIN taken t ON t.OrderID = e.OrderID LEFT JOIN s ON s.k = e.OrderID""",
+        "process_orders_ledger": turns + f"""
+    SELECT ProductID, 'Sale' AS TransactionType, -CAST(q AS BIGINT) AS Quantity,
+           CAST(rest + q AS BIGINT) AS PreviousStock, rest AS NewStock,
+           CAST(OrderID AS VARCHAR) AS ReferenceID, 'Order' AS ReferenceType,
+           {NOW} AS TransactionDate, 'loader' AS UserId,
+           'Order processing - OrderID: ' || OrderID AS Notes
+    FROM sold""",
+        "process_orders_details": turns + f"""
+    SELECT sha256('["' || OrderID || '","' || ItemNo || '"]') AS OrderDetailID, OrderID, ProductID,
+           Quantity, CAST(UnitPrice AS DOUBLE) AS UnitPrice, CAST(0 AS DOUBLE) AS DiscountAmount,
+           CAST(Quantity * UnitPrice AS DOUBLE) AS LineTotal, {NOW} AS CreatedDate
+    FROM good WHERE OrderID IN (SELECT OrderID FROM taken)""",
+        "process_orders_products": turns + f"""
+    , net AS (SELECT ProductID AS k, min(rest) AS v FROM sold GROUP BY 1)
+    SELECT ProductID, CAST(coalesce(v, StockQuantity * 30) AS INT) AS StockQuantity,
+           CASE WHEN v IS NULL THEN ModifiedDate ELSE {NOW} END AS ModifiedDate
+    FROM prod LEFT JOIN net ON k = ProductID""",
         "allocate_orders": replay + """
     SELECT u.OrderID, CASE WHEN r.k IS NULL THEN 'taken' ELSE 'refused' END AS Outcome
     FROM unit u LEFT JOIN run r ON r.k = -1000 - u.n""",
