@@ -46,10 +46,10 @@ from tillwise.llm.workspace import written
 
 WIDTH = 200
 GRAM = 64
-BLOCK = 64 << 10
+BLOCK = 160 << 10
 HOT = 1 << 14
 CHUNK = 1 << 20
-POSITION_BITS = U(21)
+PLACE = U((1 << 21) - 1)
 
 
 def transform(pieces: list[bytes], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -69,43 +69,66 @@ def transform(pieces: list[bytes], most: int) -> tuple[np.ndarray, np.ndarray, n
         before[:len(piece), d] = number[np.frombuffer(piece, dtype=np.uint8)[::-1]]
     small = np.uint8 if most < 256 else np.int32
     symbol, lcp = before[0].copy(), np.zeros(m, dtype=small)
-    entry, new = np.arange(m, dtype=np.int32), np.ones(m, bool)
+    entry = np.arange(m, dtype=np.int32)
+    where = np.empty((rounds + 1) * m, dtype=np.int32)
+    where[:m] = newest = np.arange(m)
+    begun = np.zeros(257, dtype=np.int64)  # suffixes by first symbol, counted one symbol up
     for j in range(1, rounds + 1):
-        order = np.argsort(symbol, kind="stable")
-        order = order[np.count_nonzero(symbol == 0):]
-        fresh = new[order]
-        if not fresh.any():
-            break
-        at = np.flatnonzero(fresh)
-        # A fresh suffix changes its own common prefix and that of the one behind it.
-        ask = np.concatenate([at, at + 1])
-        ask = ask[(ask > 0) & (ask < len(order))]
-        low, high = order[ask - 1], order[ask]
-        same = symbol[low] == symbol[high]
-        ask, low, high = ask[same], low[same], high[same]
-        kept = ~fresh
-        tail_lcp = np.zeros(len(order), dtype=small)
-        tail_lcp[kept] = lcp[m:]
-        if len(ask):
-            by_start = np.argsort(low, kind="stable")
-            ends = np.empty(2 * len(ask), dtype=np.int64)
-            ends[0::2], ends[1::2] = low[by_start] + 1, high[by_start] + 1
-            least = np.minimum.reduceat(np.append(lcp, small(0)), ends)[0::2]
-            tail_lcp[ask[by_start]] = np.minimum(least, most - 1) + small(1)
-        who = entry[order[at]] % m
-        tail_symbol = np.empty(len(order), dtype=np.uint8)
-        tail_symbol[kept] = symbol[m:]
-        tail_symbol[at] = before[j, who]
-        tail_entry = np.empty(len(order), dtype=np.int32)
-        tail_entry[kept] = entry[m:]
-        tail_entry[at] = j * m + who
-        symbol = np.concatenate([symbol[:m], tail_symbol])
-        lcp = np.concatenate([lcp[:m], tail_lcp])
-        entry = np.concatenate([entry[:m], tail_entry])
-        new = np.concatenate([np.zeros(m, bool), fresh])
+        who = np.flatnonzero(length >= j)
+        first, at = before[j - 1, who], newest[who]
+        order = np.lexsort((at, first))
+        who, first, at = who[order], first[order], at[order]
+        # Suffixes with one first symbol stand in the order of their symbol's places: search there
+        # how many of them come before, and which places are the next on both sides.
+        low = block = m + np.cumsum(begun)[first]
+        high = end = low + begun[first.astype(np.int64) + 1]
+        for _ in range(int((high - low).max(initial=0)).bit_length()):
+            middle = np.minimum((low + high) >> 1, len(entry) - 1)
+            before_it = (where[entry[middle] - m] < at) & (low < high)
+            low, high = np.where(before_it, middle + 1, low), np.where(before_it, high, np.minimum(middle, high))
+        place = low + np.arange(len(who))
+        beside = first[1:] == first[:-1]
+        left = np.where(low > block, where[entry[low - 1] - m], -1)
+        left[1:] = np.maximum(left[1:], np.where(beside, at[:-1], -1))
+        right = np.where(low < end, where[entry[np.minimum(low, len(entry) - 1)] - m], -1)
+        # Common prefixes: of the suffix with the one before, and of an old one that comes right after it.
+        after = right >= 0
+        after[:-1] &= ~(beside & (at[1:] < right[:-1]))
+        lows, highs = np.concatenate([left[left >= 0], at[after]]), np.concatenate([at[left >= 0], right[after]])
+        shared = _least(lcp, lows, highs, most, small)
+        own = np.zeros(len(who), dtype=small)
+        own[left >= 0] = shared[:np.count_nonzero(left >= 0)]
+        lcp[low[after]] = shared[np.count_nonzero(left >= 0):]
+        kept = np.ones(len(symbol) + len(who), bool)
+        kept[place] = False
+        symbol = _merged(kept, place, symbol, before[j, who])
+        lcp = _merged(kept, place, lcp, own)
+        entry = _merged(kept, place, entry, j * m + who)
+        where[entry] = np.arange(len(entry), dtype=np.int32)
+        newest[who] = place
+        begun[1:] += np.bincount(first, minlength=256)
     return symbol, lcp, entry % m if m else entry, entry // m if m else entry
 
 
+def _merged(kept: np.ndarray, place: np.ndarray, old: np.ndarray, new: np.ndarray) -> np.ndarray:
+    made = np.empty(len(kept), dtype=old.dtype)
+    made[kept] = old
+    made[place] = new
+    return made
+
+
+def _least(lcp: np.ndarray, low: np.ndarray, high: np.ndarray, most: int, small: type) -> np.ndarray:
+    """One more than the least common prefix in low + 1..high, at most ``most``."""
+    made = np.zeros(len(low), dtype=small)
+    if len(low):
+        order = np.argsort(low, kind="stable")
+        ends = np.empty(2 * len(low), dtype=np.int64)
+        ends[0::2], ends[1::2] = low[order] + 1, high[order] + 1
+        least = np.minimum.reduceat(np.append(lcp, small(0)), ends)[0::2]
+        made[order] = np.minimum(least, most - 1) + small(1)
+    return made
+
+
 def repeated(pieces: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Piece and start of each ``width``-byte string that starts at two or more places."""
     _, lcp, piece, suffix = transform(pieces, width)
@@ -122,23 +145,24 @@ def pieces_of(blobs: list[bytes], width: int, gram: int) -> Iterator[tuple[np.nd
              for at in range(0, max(len(blob) - width + 1, 0), CHUNK)]
     for first, run in runs([p[2] for p in parts], CHUNK):
         hashed = run.hasher()
-        n = len(run.buf)
-        at = np.arange(n - gram + 1)
-        key = hashed(at, at + gram)
+        key = run.rolling(gram)
         # Least hash first, leftmost of equals: the place is in the low bits.
-        least = (key >> POSITION_BITS << POSITION_BITS) | at.astype(U)
+        least = key & ~PLACE
+        least |= np.arange(len(key), dtype=U)
         span, wide = width - gram + 1, 1
         while wide * 2 <= span:
             least = np.minimum(least[:-wide], least[wide:])
             wide *= 2
         if wide < span:
             least = np.minimum(least[:len(least) - (span - wide)], least[span - wide:])
-        place = (least & U((1 << int(POSITION_BITS)) - 1)).astype(np.int64)
+        place = (least & PLACE).view(np.int64)
         # Strings start at run.start up to end - width, in each text of the run.
         count = run.length - width + 1
         doc = np.repeat(np.arange(len(run)), count)
         start = np.repeat(run.start - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        cut = np.flatnonzero(np.concatenate(([True], (place[start][1:] != place[start][:-1]) | (doc[1:] != doc[:-1])))) if len(start) else start
+        by_string = place[start]
+        cut = np.flatnonzero(np.concatenate(
+            ([True], (by_string[1:] != by_string[:-1]) | (doc[1:] != doc[:-1])))) if len(start) else start
         number = np.diff(np.append(cut, len(start)))
         origin = start[cut]
         base = np.array([p[1] for p in parts[first:first + len(run)]])
@@ -180,7 +204,13 @@ def _extract(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     lists = wanted.groupBy("key").agg(F.collect_list(F.struct("at", "minimiser", "content", "hot")).alias("wanted"))
 
     def of(batches):
+        last = None
         for batch in batches:
+            # The join leaves equal keys side by side: of a text with many copies one is enough.
+            keys = batch.column(2).to_numpy()
+            fresh = np.append(keys[:1] != last, keys[1:] != keys[:-1]) if len(keys) else keys.astype(bool)
+            last = keys[-1] if len(keys) else last
+            batch = batch.filter(pa.array(fresh))
             blobs, seen = blobs_of(batch.column(0)), set()
             lists = batch.column(1).to_pylist()
             for base, run in runs(blobs):
@@ -199,7 +229,7 @@ def _extract(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                         pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)],
                         names=["minimiser", "content", "hot", "bytes"])
 
-    return texts.join(lists, "key").select("text", "wanted").mapInArrow(
+    return texts.join(lists, "key").select("text", "wanted", "key").mapInArrow(
         of, "minimiser long, content long, hot boolean, bytes binary")
 
 
@@ -272,11 +302,25 @@ def mixed(run: Run, start: np.ndarray, width: int) -> np.ndarray:
     return run.hasher()(start, start + width).view(np.int64)
 
 
+def _flat(found: pa.Array) -> tuple[np.ndarray, ...]:
+    """A column of pieces as arrays: whose, at, content, and where the ranges of each lie in the last (-1: none)."""
+    rows = pa.compute.list_parent_indices(found).to_numpy()
+    pieces = found.flatten()
+    ranges = pieces.field("ranges")
+    size = pa.compute.fill_null(pa.compute.list_value_length(ranges), 0).to_numpy().astype(np.int64)
+    none = pa.compute.is_null(ranges).to_numpy(zero_copy_only=False)
+    last = np.cumsum(size)
+    first = np.where(none, -1, last - size)
+    return (rows, pieces.field("at").to_numpy(), pieces.field("content").to_numpy(), first,
+            np.where(none, -1, last), ranges.flatten().to_numpy().astype(np.int64))
+
+
 def repeats(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """``key`` and ``found``: the pieces of (key, text) with repeated strings, each with its start and
     number, content hash and ranges of repeated strings (null: all of them)."""
     pieces = _pieces(texts, width, gram)
-    shared = pieces.groupBy("minimiser").count().where("count > 1").select("minimiser")
+    # Written, so that the join deals out both sides itself and can split a common minimiser.
+    shared = written(pieces.groupBy("minimiser").count().where("count > 1").select("minimiser"), "shared")
     places = written(pieces.join(shared, "minimiser"), "places")
     each = written(places.groupBy("minimiser", "content").agg(
         F.count("*").alias("copies"), F.min(F.struct("key", "at")).alias("one")), "pieces")
@@ -302,21 +346,32 @@ def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block: int = BL
 
     def of(batches):
         for batch in batches:
-            lists, out = batch.column(2).to_pylist(), []
+            out, whose, at, content, first, last, bounds = [], *_flat(batch.column(2))
             for base, run in runs(blobs_of(batch.column(1))):
-                hashed = run.hasher() if any(lists[base:base + len(run)]) else None
+                lo, hi = np.searchsorted(whose, [base, base + len(run)])
+                doc, start, number = whose[lo:hi] - base, at[lo:hi] >> 16, at[lo:hi] & 0xFFFF
+                origin, size = run.start[doc] + start, number + width - 1
+                real = np.flatnonzero(origin + size <= run.end[doc])
+                if len(real):
+                    same = run.hasher()(origin[real], (origin + size)[real]).view(np.int64) == content[lo:hi][real]
+                    real = real[same]
+                step = np.zeros(len(run.buf) + 1, dtype=np.int64)
+                whole = real[first[lo:hi][real] < 0]
+                part = real[first[lo:hi][real] >= 0]
+                np.add.at(step, origin[whole], 1)
+                np.add.at(step, (origin + size)[whole], -1)
+                n = (last - first)[lo:hi][part] // 2
+                index = np.repeat(first[lo:hi][part] - 2 * (np.cumsum(n) - n), n) + 2 * np.arange(n.sum())
+                np.add.at(step, np.repeat(origin[part], n) + bounds[index], 1)
+                np.add.at(step, np.repeat(origin[part], n) + bounds[index + 1] + width - 1, -1)
+                gone = np.cumsum(step[:-1]) > 0
+                edge = np.flatnonzero(np.diff(gone.view(np.int8), prepend=0, append=0))
+                cut = np.searchsorted(edge, np.append(run.start, len(run.buf)))
                 for d, blob in enumerate(run.blobs):
-                    step = np.zeros(len(blob) + 1, dtype=np.int32)
-                    for f in lists[base + d] or ():
-                        got = _checked(run, d, f["at"], f["content"], width, hashed)
-                        if got:
-                            bounds = [0, got[1]] if f["ranges"] is None else f["ranges"]
-                            np.add.at(step, got[0] + np.array(bounds[0::2]), 1)
-                            np.add.at(step, got[0] + np.array(bounds[1::2]) + width - 1, -1)
-                    gone = np.cumsum(step[:-1]) > 0
-                    edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
-                    kept = np.frombuffer(blob, dtype=np.uint8)[~gone].tobytes() if len(edge) else blob
-                    out.append((len(blob), int(gone.sum()), len(edge) // 2, hashlib.sha256(kept).hexdigest(), edge.tolist()))
+                    own = edge[cut[d]:cut[d + 1]] - run.start[d]
+                    removed = int((own[1::2] - own[::2]).sum())
+                    kept = np.frombuffer(blob, dtype=np.uint8)[~gone[run.start[d]:run.end[d]]].tobytes() if removed else blob
+                    out.append((len(blob), removed, len(own) // 2, hashlib.sha256(kept).hexdigest(), own))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
             columns = zip(*out, strict=True) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays(

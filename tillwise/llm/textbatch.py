@@ -40,7 +40,7 @@ def powers(base: U, n: int) -> np.ndarray:
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every input bit."""
     x = x ^ (x >> U(33))
-    x = x * U(0xFF51AFD7ED558CCD)
+    x *= U(0xFF51AFD7ED558CCD)
     x ^= x >> U(33)
     x *= U(0xC4CEB9FE1A85EC53)
     x ^= x >> U(33)
@@ -56,6 +56,7 @@ class Run:
         self.length = np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs))
         self.end = np.cumsum(self.length + 1) - 1
         self.start = self.end - self.length
+        self._sums: dict[bool, tuple[np.ndarray, np.ndarray]] = {}
 
     def __len__(self) -> int:
         return len(self.blobs)
@@ -79,21 +80,35 @@ class Run:
         end = np.flatnonzero(self.buf == 10)
         return np.concatenate(([0], end[:-1] + 1)), end
 
+    def _prefix(self, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of bytes times powers, and the powers that undo the place of a span."""
+        if lower not in self._sums:
+            data = (LOWER[self.buf] if lower else self.buf).astype(U)
+            n = len(data)
+            data += U(1)
+            data *= powers(BASE, n)[:n]
+            prefix = np.zeros(n + 1, dtype=U)
+            np.cumsum(data, out=prefix[1:])
+            self._sums[lower] = prefix, powers(INVERSE, n)
+        return self._sums[lower]
+
     def hasher(self, lower: bool = False):
         """A function of span starts and ends that gives equal spans equal hashes."""
-        data = (LOWER[self.buf] if lower else self.buf).astype(U)
-        n = len(data)
-        data += U(1)
-        data *= powers(BASE, n)[:n]
-        prefix = np.zeros(n + 1, dtype=U)
-        np.cumsum(data, out=prefix[1:])
-        back = powers(INVERSE, n)
+        prefix, back = self._prefix(lower)
 
         def of(start: np.ndarray, end: np.ndarray) -> np.ndarray:
             return mix((prefix[end] - prefix[start]) * back[start] + (end - start).astype(U))
 
         return of
 
+    def rolling(self, width: int) -> np.ndarray:
+        """The hash of the ``width`` bytes at each place, as ``hasher`` gives it."""
+        prefix, back = self._prefix(False)
+        made = prefix[width:] - prefix[:-width]
+        made *= back[:len(made)]
+        made += U(width)
+        return mix(made)
+
 
 def blobs_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column, nulls as empty texts."""
