@@ -291,18 +291,17 @@ def clean(
     least: float = LEAST, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """The rows of ``docs`` without a leak; texts stay where they are."""
-    named = docs.columns
-    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in named]).alias("row"), F.col("text"))
+    kept, at_text = docs, docs.columns.index("text")
     for sent in prepared(docs, benchmark, words, spread, segment, block_bytes):
 
         def of(batches, sent=sent):
             items, gram, first, places, sieve = sent.value
             for batch in batches:
                 ok = np.ones(batch.num_rows, bool)
-                for base, run in runs(blobs_of(batch.column(1))):
+                for base, run in runs(blobs_of(batch.column(at_text))):
                     for d, *_ in leaks_in(run, items, gram, first, places, sieve, words, least):
                         ok[base + d] = False
                 yield batch.filter(pa.array(ok))
 
-        kept = kept.mapInArrow(of, kept.schema)
-    return kept.select(*[F.col("row").getField(c).alias(c) for c in named])
+        kept = kept.mapInArrow(of, docs.schema)
+    return kept

@@ -20,11 +20,11 @@ from tillwise.llm import (
     sql,
     token_edits,
 )
-from tillwise.session import ship
+from tillwise.llm.workspace import ready
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

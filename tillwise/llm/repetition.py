@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from tillwise.llm.textbatch import SPACE, Run, U, blobs_of, mix, runs
+from tillwise.llm.workspace import plain_names
 
 MIN_REPEAT = 8
 MAX_COVERED = 0.5
@@ -195,6 +196,5 @@ def measure(docs: DataFrame) -> DataFrame:
 
 def reject(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text passes, with their own columns."""
-    named = docs.columns
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in named]).alias("row"), F.col("text"))
-    return measure(inner).where("kept").select(*[F.col("row").getField(c).alias(c) for c in named])
+    inner = plain_names(docs)
+    return measure(inner).where("kept").select(*inner.columns).toDF(*docs.columns)

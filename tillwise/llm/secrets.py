@@ -28,6 +28,8 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillwise.llm.workspace import written
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -204,7 +206,8 @@ def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFr
     """``row`` (all of the document's columns), ``text`` and ``spans`` by start, then kind."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
     keyed = rows.withColumn("key", text_key(F.col("text")))
-    found = candidates(docs.select(text_key(F.col("text")).alias("key"), "text"), rules)
+    # Written, so that the join deals out both sides itself and can split a text with many copies.
+    found = written(candidates(docs.select(text_key(F.col("text")).alias("key"), "text"), rules), "candidates")
     joined = keyed.join(found, "key", "left")
     empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     each = []

@@ -30,7 +30,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from tillwise.llm.components import components
 from tillwise.llm.textbatch import blobs_of
-from tillwise.llm.workspace import written
+from tillwise.llm.workspace import plain_names, written
 
 WORDS = 3
 RADIUS = 2
@@ -123,13 +123,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The document with the smallest id of each component, with its own columns."""
-    named = docs.columns
-    rows = with_fingerprint(
-        docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in named]).alias("row")), "fp")
+    plain = plain_names(docs)
+    rows = with_fingerprint(plain, "fp")
     prints = written(rows.select("doc_id", "fp"), "prints")
     first = rows.join(classes(prints, radius), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # Repeated ids leave more than one such row: the one with the smallest print and text stays.
-    order = F.struct("fp", F.xxhash64("text"), F.sha2(F.to_json("row"), 256))
-    return (
-        first.groupBy("component").agg(F.min_by("row", order).alias("row"))
-        .select(*[F.col("row").getField(c).alias(c) for c in named]))
+    row = F.struct(*plain.columns)
+    order = F.struct("fp", F.xxhash64("text"), F.sha2(F.to_json(row), 256))
+    return first.groupBy("component").agg(F.min_by(row, order).alias("row")).select("row.*").toDF(*docs.columns)

@@ -9,6 +9,8 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tillwise.session import ship
+
 
 @cache
 def _own_folder() -> str:
@@ -34,6 +36,21 @@ def folder(spark: SparkSession) -> str:
     return _own_folder()
 
 
+# Rows in an Arrow batch on its way to a Python task; texts are long.
+BATCH_ROWS = 1000
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """The session with this package on its executors and batches of whole texts kept small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return ship(spark)
+
+
+def plain_names(docs: DataFrame) -> DataFrame:
+    """``docs`` with names that nothing clashes with: ``_0``, ``_1``, ..., but ``text`` and ``doc_id``."""
+    return docs.toDF(*[c if c in ("text", "doc_id") else f"_{i}" for i, c in enumerate(docs.columns)])
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it back.
 
