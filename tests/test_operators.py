@@ -271,3 +271,18 @@ def test_range_folders_are_pruned(spark, tmp_path):
 
 def test_split_columns():
     assert split_columns("a, f(b, c) AS d,\n e") == ["a", "f(b, c) AS d", "e"]
+
+
+def test_publish_switches_all_frames_at_once(spark, tmp_path):
+    from tillwise.sources.publish import publish, published
+
+    target = str(tmp_path / "out")
+    publish({"a": spark.range(3), "b": spark.range(5)}, target)
+    first = published(spark, target, "a")
+    broken = spark.range(1).selectExpr("raise_error('no') AS id")
+    with pytest.raises(Exception, match="no"):
+        publish({"a": spark.range(7), "b": broken}, target)
+    assert published(spark, target, "a").count() == 3 and published(spark, target, "b").count() == 5
+    publish({"a": spark.range(7), "b": spark.range(8)}, target)
+    assert published(spark, target, "a").count() == 7 and published(spark, target, "b").count() == 8
+    assert first.count() == 3

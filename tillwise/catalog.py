@@ -236,6 +236,11 @@ def _processed(store: Store) -> DataFrame:
         F.lit(None).cast("decimal(12,4)").alias("TotalAmount"), "ErrorMessage"))
 
 
+def _trail(made: dict[str, DataFrame]) -> DataFrame:
+    """Audit rows and alerts of a job."""
+    return made["audit"].unionByName(made["alerts"])
+
+
 def _adjusted(part: str, *columns: str) -> Callable[[Store], DataFrame]:
     def run(store: Store) -> DataFrame:
         made = inventory.apply_inventory_adjustments(
@@ -364,6 +369,11 @@ OPERATORS: dict[str, Callable[[Store], DataFrame]] = {
     "process_orders_details": lambda s: _process(s)["details"],
     "process_orders_products":
         lambda s: _process(s)["products"].select("ProductID", "StockQuantity", "ModifiedDate"),
+    "process_orders_audit": lambda s: _trail(_process(s)),
+    "apply_inventory_adjustments_audit": lambda s: _trail(inventory.apply_inventory_adjustments(
+        feeds.roomy(s), feeds.stock_adjustments(s), as_of=AS_OF)),
+    "process_returns_audit": lambda s: _trail(returns.process_returns(
+        s, feeds.return_requests(s), as_of=AS_OF)),
     "apply_inventory_adjustments": _adjusted("ledger"),
     "apply_inventory_adjustments_products":
         _adjusted("products", "ProductID", "StockQuantity", "ModifiedDate"),

@@ -244,6 +244,23 @@ TURNS = """
       FROM fit f JOIN taken USING (OrderID) JOIN prod p ON p.ProductID = f.ProductID)"""
 
 
+# Audit rows from ``moved`` (products before and after) and ``trail`` (other rows).
+TRAIL = f"""
+    SELECT *, 'loader' AS ChangedBy, 'tillwise' AS Application, {NOW} AS ChangedDate FROM (
+      SELECT 'Product' AS TableName, 'UPDATE' AS Operation,
+             CAST(ProductID AS VARCHAR) AS PrimaryKeyValue,
+             'Price=' || Price || ', Stock=' || was AS OldValues,
+             'Price=' || Price || ', Stock=' || now AS NewValues
+      FROM moved WHERE was <> now
+      UNION ALL
+      SELECT 'Product', 'STOCK_ALERT', CAST(ProductID AS VARCHAR), 'Stock: ' || was,
+             'Stock: ' || now || ' (Below Reorder Level: ' || ReorderLevel || ')'
+      FROM moved WHERE was > ReorderLevel AND now <= ReorderLevel
+      UNION ALL SELECT * FROM trail)"""
+NO_TRAIL = """
+    , trail AS (SELECT NULL AS a, NULL AS b, NULL AS c, NULL AS d, NULL AS e WHERE false)"""
+
+
 def _recursive(head: str) -> str:
     return head.replace("WITH ", "WITH RECURSIVE ", 1)
 
@@ -277,6 +294,40 @@ def statements() -> dict[str, str]:
                 WHEN no_ship THEN 'Invalid shipping address.'
                 ELSE 'Invalid billing address.' END AS ErrorMessage
     FROM seen e LEFT JOIN taken t ON t.OrderID = e.OrderID LEFT JOIN s ON s.k = e.OrderID""",
+        "process_orders_audit": turns + """
+    , net AS (SELECT ProductID AS k, min(rest) AS v FROM sold GROUP BY 1
+    ), moved AS (
+      SELECT ProductID, Price, ReorderLevel, StockQuantity * 30 AS was, v AS now
+      FROM prod JOIN net ON k = ProductID
+    ), s AS (
+      SELECT OrderID AS k, CAST(sum(Quantity * UnitPrice) AS DECIMAL(12,4)) AS v
+      FROM good GROUP BY 1
+    ), trail AS (
+      SELECT 'Order', 'INSERT', CAST(OrderID AS VARCHAR), NULL,
+             'CustomerID=' || CustomerID || ', TotalAmount='
+             || CAST(v + CAST(v * TaxRate AS DECIMAL(12,4)) + 5.99 - off AS DECIMAL(12,4))
+             || ', OrderStatus=Pending'
+      FROM taken JOIN req USING (OrderID) JOIN s ON k = OrderID)""" + TRAIL,
+        "apply_inventory_adjustments_audit": tall + """
+    , net AS (SELECT s.ProductID AS k, sum(a.q) AS v
+              FROM step s JOIN adj a ON a.AdjustmentID = s.AdjustmentID WHERE s.ok GROUP BY 1
+    ), moved AS (
+      SELECT ProductID, Price, ReorderLevel, StockQuantity * 10 AS was,
+             CAST(StockQuantity * 10 + v AS BIGINT) AS now
+      FROM prod JOIN net ON k = ProductID)""" + NO_TRAIL + TRAIL,
+        "process_returns_audit": closing + """
+    , net AS (SELECT ProductID AS k, sum(q) AS v FROM final
+              WHERE ErrorMessage IS NULL AND RestockProduct GROUP BY 1
+    ), moved AS (
+      SELECT ProductID, Price, ReorderLevel, StockQuantity AS was,
+             CAST(StockQuantity + v AS BIGINT) AS now
+      FROM prod JOIN net ON k = ProductID
+    ), trail AS (
+      SELECT 'Order', 'UPDATE', CAST(OrderID AS VARCHAR),
+             'OrderStatus=' || OrderStatus || ', TotalAmount=' || TotalAmount,
+             'OrderStatus=Returned, TotalAmount=' || TotalAmount
+      FROM sale WHERE OrderStatus <> 'Returned'
+        AND OrderID IN (SELECT OrderID FROM final WHERE ClosesOrder))""" + TRAIL,
         "process_orders_ledger": turns + f"""
     SELECT ProductID, 'Sale' AS TransactionType, -CAST(q AS BIGINT) AS Quantity,
            CAST(rest + q AS BIGINT) AS PreviousStock, rest AS NewStock,

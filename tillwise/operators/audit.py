@@ -136,6 +136,19 @@ def alerts_of(
     ))
 
 
+def job_trail(
+    *, products: tuple[DataFrame, DataFrame], orders: tuple[DataFrame, DataFrame] | None = None,
+    as_of: datetime, actor: str = "loader", application: str = "tillwise",
+) -> dict[str, DataFrame]:
+    """What the tables' triggers write when a job changes them: ``audit`` rows of
+    products and orders, and ``alerts``. Tables are given before and after the job."""
+    said = {"as_of": as_of, "actor": actor, "application": application}
+    audit = product_audit_trail(*products, **said)
+    if orders is not None:
+        audit = audit.unionByName(order_audit_trail(*orders, **said))
+    return {"audit": audit, "alerts": stock_alerts(*products, **said)["alerts"]}
+
+
 def validate_inventory_ledger(batch: DataFrame, products: DataFrame) -> DataFrame:
     """Movements of ``batch`` that disagree with their product or with themselves."""
     columns = ["TransactionID", "ProductID", "PreviousStock", "Quantity", "NewStock"]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tillwise import model
 from tillwise.functions.clock import ts
 from tillwise.functions.values import or_zero, text
+from tillwise.operators.audit import job_trail
 from tillwise.plans.claims import TAKEN, settle_singles
 from tillwise.plans.skew import HOT_ROWS, per_key
 from tillwise.session import cut_lineage
@@ -71,4 +72,5 @@ def apply_inventory_adjustments(
         })
         .select(*products.columns)
     )
-    return {"ledger": ledger, "products": after, "rejects": rejects}
+    trail = job_trail(products=(products, after), as_of=as_of, actor=actor)
+    return {"ledger": ledger, "products": after, "rejects": rejects, **trail}

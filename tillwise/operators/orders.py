@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tillwise import model
 from tillwise.functions.clock import ts
 from tillwise.functions.values import money, or_zero, text
+from tillwise.operators.audit import job_trail
 from tillwise.operators.prep import with_hash_key
 from tillwise.plans.claims import TAKEN, settle
 from tillwise.plans.skew import HOT_ROWS, per_key
@@ -167,7 +168,8 @@ def process_orders(
     """Turn requests into orders, in the order of RequestDate and OrderID.
 
     Gives the new ``orders`` and ``details``, the ``ledger`` rows of what was
-    sold, ``products`` with the stock left, and ``rejects``.
+    sold, ``products`` with the stock left, ``rejects``, and the ``audit`` rows
+    and stock ``alerts`` that follow.
     """
     # Both are read by several outputs: parsed and checked once.
     items = cut_lineage(_items(store, requests))
@@ -252,5 +254,7 @@ def process_orders(
             ts(as_of).alias("CreatedDate"),
         ),
         "OrderDetailID", "OrderID", "ItemNo").drop("ItemNo")
+    trail = job_trail(products=(products, after), orders=(orders.where(F.lit(False)), orders),
+                      as_of=as_of, actor=actor)
     return {"orders": orders, "details": details, "ledger": ledger, "products": after,
-            "rejects": rejects}
+            "rejects": rejects, **trail}

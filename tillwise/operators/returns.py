@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tillwise import model
 from tillwise.functions.clock import ts
 from tillwise.functions.values import money, or_zero, text
+from tillwise.operators.audit import job_trail
 from tillwise.operators.prep import with_hash_key
 from tillwise.plans.claims import TAKEN, settle_singles
 from tillwise.plans.skew import HOT_ROWS, per_key
@@ -220,5 +221,6 @@ def process_returns(
     )
     rejects = checked.where(F.col("ErrorMessage").isNotNull()).select(
         "ReturnID", "OrderID", "ProductID", "ErrorMessage")
+    trail = job_trail(products=(products, after), orders=(all_orders, orders), as_of=as_of, actor=actor)
     return {"returns": returns, "ledger": ledger, "products": after, "orders": orders,
-            "rejects": rejects}
+            "rejects": rejects, **trail}
