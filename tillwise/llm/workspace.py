@@ -1,40 +1,10 @@
-"""Intermediate tables in the shared folder, and sizes taken from the input."""
+"""Intermediate tables in the shared folder, and what tasks on texts need."""
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-import uuid
-from functools import cache
-
 from pyspark.sql import DataFrame, SparkSession
 
-from tillwise.session import ship
-
-
-@cache
-def _own_folder() -> str:
-    import atexit
-
-    made = tempfile.mkdtemp(prefix="corpus-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    return made
-
-
-def folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``.
-
-    Only a session inside one process may go without it and gets a folder of
-    its own; executors elsewhere could not read that.
-    """
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return _own_folder()
-
+from tillwise.session import scratch_path, ship
 
 # Rows in an Arrow batch on its way to a Python task; texts are long.
 BATCH_ROWS = 1000
@@ -52,12 +22,11 @@ def plain_names(docs: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` below the shared folder and read it back.
+    """Write ``df`` below the shared folder (``spark.checkpoint.dir``) and read it back.
 
     The copy is a table of files: a lost executor costs no recomputation of
     what came before, and readers still prune columns.
     """
-    spark = df.sparkSession
-    path = f"{folder(spark)}/llm/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
