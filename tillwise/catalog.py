@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
+from tillwise import sql
 from tillwise.functions.delivery import with_delivery_estimate
 from tillwise.functions.pricing import customer_tiers, with_product_discount, with_shipping_cost
 from tillwise.operators import (
@@ -69,14 +70,17 @@ def method_of(order_id: Column) -> Column:
     return made
 
 
-def _shipping_cost(store: Store) -> DataFrame:
-    parcels = store.scan("order_detail", "OrderDetailID", "OrderID", "Quantity").select(
+def _parcels(store: Store) -> DataFrame:
+    return store.scan("order_detail", "OrderDetailID", "OrderID", "Quantity").select(
         "OrderDetailID",
         F.expr("CAST(Quantity * CAST(0.35 AS DECIMAL(3,2)) AS DECIMAL(8,2))").alias("Weight"),
         zone_of(F.col("OrderID")).alias("Zone"),
         method_of(F.col("OrderID")).alias("ShippingMethod"),
     )
-    return with_shipping_cost(parcels)
+
+
+def _shipping_cost(store: Store) -> DataFrame:
+    return with_shipping_cost(_parcels(store))
 
 
 def _product_discount(store: Store) -> DataFrame:
@@ -87,15 +91,29 @@ def _product_discount(store: Store) -> DataFrame:
     return with_product_discount(store, bought, promo_categories=(6, 7, 8))
 
 
-def _delivery_estimate(store: Store) -> DataFrame:
-    placed = store.scan("sales_order", "OrderID", "OrderDate", "ShippingMethod").select(
+def _placed(store: Store) -> DataFrame:
+    return store.scan("sales_order", "OrderID", "OrderDate", "ShippingMethod").select(
         "OrderID",
         (F.col("OrderDate") + F.make_dt_interval(F.lit(0), (F.col("OrderID") % 24).cast("int")))
         .alias("OrderDate"),
         "ShippingMethod",
         zone_of(F.col("OrderID")).alias("Zone"),
     )
-    return with_delivery_estimate(placed)
+
+
+def _delivery_estimate(store: Store) -> DataFrame:
+    return with_delivery_estimate(_placed(store))
+
+
+def _by_sql(statement: str) -> Callable[[Store], DataFrame]:
+    """A statement with the SQL functions, over the store's tables and what the functions are tested on."""
+    def run(store: Store) -> DataFrame:
+        sql.register_functions(store)
+        _parcels(store).createOrReplaceTempView("parcels")
+        _placed(store).createOrReplaceTempView("placed_orders")
+        return store.spark.sql(statement)
+
+    return run
 
 
 BOUNDARIES = [datetime(1996, 1, 1), datetime(1997, 1, 1), datetime(1998, 7, 1),
@@ -278,6 +296,13 @@ def _detailed_report(store: Store) -> DataFrame:
 
 OPERATORS: dict[str, Callable[[Store], DataFrame]] = {
     "sales_report_detailed": _detailed_report,
+    "sql_shipping_cost": _by_sql(
+        "SELECT OrderDetailID, shipping_cost(Weight, Zone, ShippingMethod) AS ShippingCost FROM parcels"),
+    "sql_delivery_estimate": _by_sql(
+        "SELECT OrderID, delivery_estimate(OrderDate, ShippingMethod, Zone) AS EstimatedDelivery"
+        " FROM placed_orders"),
+    "sql_customer_tier": _by_sql(
+        "SELECT CustomerID, customer_tier(CustomerID) AS CustomerTier FROM customer"),
     "sales_report_product_filtered":
         lambda s: reports.sales_report_product(s, category_id=7, **ALL),
     "sales_report_category_filtered":

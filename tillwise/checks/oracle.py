@@ -596,6 +596,10 @@ def _variants(made: dict[str, str]) -> dict[str, str]:
         "low_stock_products_available":
             f"SELECT * FROM ({made['low_stock_products']}) WHERE StockQuantity > 0",
         "customer_order_history_split": made["customer_order_history"],
+        **{f"sql_{name}": f"SELECT {columns} FROM ({made[name]})" for name, columns in (
+            ("shipping_cost", "OrderDetailID, ShippingCost"),
+            ("delivery_estimate", "OrderID, EstimatedDelivery"),
+            ("customer_tier", "CustomerID, CustomerTier"))},
     }
 
 
