@@ -35,8 +35,7 @@ LAST_BAND = max(top for (_, top), _ in LOGIN_BANDS)
 def table_counts(store: Store) -> DataFrame:
     """Rows of every table the store holds."""
     counts = [
-        store.scan(name).agg(F.count("*").alias("RecordCount"))
-        .select(F.lit(label).alias("DataType"), "RecordCount")
+        store.count(name).select(F.lit(label).alias("DataType"), "RecordCount")
         for name, label in COUNT_LABELS.items() if name in store
     ]
     return reduce(DataFrame.unionByName, counts).orderBy("DataType")

@@ -293,6 +293,11 @@ class StarTables:
             "CAST(NULL AS STRING) AS Notes",
         )
 
+    def inventory_transactions(self) -> DataFrame:
+        """How many rows :meth:`inventory_transaction` has, from the number of lines per product."""
+        sales = self.raw("lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"))
+        return sales.agg(F.coalesce(F.sum(F.expr(f"n + n DIV {RESTOCK_EVERY}")), F.lit(0)).alias("RecordCount"))
+
 
 def star_store(spark: SparkSession, path: str) -> Store:
     tables = StarTables(spark, path)
@@ -301,4 +306,4 @@ def star_store(spark: SparkSession, path: str) -> Store:
         for name in ("category", "product", "customer", "shipping_address", "billing_address",
                      "sales_order", "order_detail", "product_return", "inventory_transaction")
     }
-    return Store(spark, builds)
+    return Store(spark, builds, {"inventory_transaction": tables.inventory_transactions})
