@@ -22,7 +22,8 @@ def test_held_out_accuracy(spark):
     test = got[got.held_out].merge(labels, on="doc_id")
     assert (test.predicted == test.quality).mean() > 0.98
     assert (test[test.quality == 0].predicted == 0).mean() > 0.95
-    assert (test[test.toxic == 1].predicted == 1).mean() > 0.98
+    # Toxic texts of good quality are good quality; being toxic is another label.
+    assert (test[(test.toxic == 1) & (test.quality == 1)].predicted == 1).mean() > 0.98
 
 
 def test_labels_of_held_out_rows_are_not_used(spark):
