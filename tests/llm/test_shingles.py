@@ -1,0 +1,61 @@
+"""Near copies by shingles against brute-force Jaccard."""
+
+from __future__ import annotations
+
+import random
+import re
+
+import numpy as np
+
+from tillwise.llm import shingles, simhash
+from tillwise.llm.textbatch import Run
+
+
+def slow_set(text: str | None) -> frozenset:
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", low)
+    return frozenset(tuple(words[i:i + 5]) for i in range(max(len(words) - 4, 1))) if words else frozenset()
+
+
+def near_pairs(texts: list[str]) -> set:
+    sets = [slow_set(t) for t in texts]
+    return {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j])
+            if a and b and len(a & b) >= 0.8 * len(a | b)}
+
+
+def test_sets_are_the_shingles():
+    rng = random.Random(3)
+    texts = ["", " \n", "One", "one two THREE four", "a b c d e", "A b\tc d e", "É b c d e f", "x y " * 300] + [
+        " ".join(rng.choice("abc") for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    found, edge = shingles.sets_of(Run([t.encode() for t in texts]))
+    assert np.diff(edge).tolist() == [len(slow_set(t)) for t in texts]
+    for i, t in enumerate(texts):
+        for j, u in enumerate(texts[:i]):
+            both = np.intersect1d(found[edge[i]:edge[i + 1]], found[edge[j]:edge[j + 1]])
+            assert len(both) == len(slow_set(t) & slow_set(u))
+
+
+def test_near_copies_share_a_component(spark):
+    rng = random.Random(8)
+    texts = []
+    for group in range(25):
+        base = [f"g{group}w{rng.randint(0, 500)}" for _ in range(rng.randint(60, 200))]
+        for _ in range(rng.choice([1, 2, 4, 15])):
+            words = list(base)
+            for _ in range(rng.randint(0, 4)):
+                words[rng.randrange(len(words))] = f"new{rng.random()}"
+            texts.append(" ".join(words))
+    texts += ["", " ", "one two three", "One two  three", "one two four"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    component = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    by_bits = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, least=None).collect()}
+    pairs = near_pairs(texts)
+    assert sum(by_bits[i] == by_bits[j] for i, j in pairs) < len(pairs) / 2
+    assert all(component[i] == component[j] for i, j in pairs)
+    # Nothing else is linked: components are those of the pairs and the bits.
+    parent = list(range(len(texts)))
+    for i, j in sorted(pairs) + [(by_bits[i], i) for i in by_bits]:
+        low, high = sorted((parent[i], parent[j]))
+        parent = [low if p == high else p for p in parent]
+    assert component == dict(enumerate(parent))
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(parent))

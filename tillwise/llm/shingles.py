@@ -1,0 +1,202 @@
+"""Near copies by shared five-word shingles: MinHash bands, exact verification.
+
+A text is the set of its five-word shingles (words are runs of anything but
+ASCII white space, A-Z in lower case). Two texts are near copies if the sets'
+Jaccard similarity is ``LEAST`` or more. Each distinct set emits ``BANDS``
+keys of ``ROWS`` minima each; a pair at similarity s shares a key with
+probability 1 - (1 - s ** ROWS) ** BANDS, which is 0.9996 at 0.8 and more
+above. Of a bucket with at most ``SMALL`` sets all pairs are candidates; of a
+larger one the pairs with its smallest and its largest set (by hash), so
+candidates grow with the sets and not with their square. Candidates whose
+sizes allow the similarity are verified on the sets themselves.
+
+A pair is missed if it shares no key, or if it only meets in buckets of more
+than ``SMALL`` sets and nothing similar to both connects it there.
+
+Defined results: texts without a word have no set and no links; with fewer
+than five words the whole sequence is the one shingle; equal sets are one.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
+
+from tillwise.llm.textbatch import Run, U, blobs_of, mix, runs
+from tillwise.llm.workspace import written
+
+WORDS = 5
+LEAST = 0.8
+BANDS = 20
+ROWS = 5
+SMALL = 8
+SIEVE_WORDS = 18
+# Odd factors, one for each minimum.
+FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
+
+
+def sets_of(run: Run, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each text as hashes, by text, and where each text's begin."""
+    start, end = run.words()
+    doc = run.doc_of(start)
+    word = run.hasher(lower=True)(start, end)
+    number = np.bincount(doc, minlength=len(run))
+    first = np.concatenate(([0], np.cumsum(number)))
+    at = np.flatnonzero(doc[words - 1:] == doc[:len(doc) - words + 1]) if len(doc) >= words else np.zeros(0, np.int64)
+    made = word[at]
+    for k in range(1, words):
+        made = mix(made * U(3) + word[at + k])
+    short = np.flatnonzero((number > 0) & (number < words))
+    whole = [word[first[i]:first[i + 1]] for i in short]
+    extra = np.zeros(len(short), dtype=U)
+    for i, w in enumerate(whole):
+        extra[i] = mix(np.array([len(w)], dtype=U))[0]
+        for x in w:
+            extra[i:i + 1] = mix(extra[i:i + 1] * U(3) + x)
+    owner, shingle = np.concatenate([doc[at], short]), np.concatenate([made, extra])
+    order = np.lexsort((shingle, owner))
+    owner, shingle = owner[order], shingle[order]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (owner[1:] != owner[:-1]) | (shingle[1:] != shingle[:-1])
+    owner, shingle = owner[fresh], shingle[fresh]
+    return shingle, np.searchsorted(owner, np.arange(len(run) + 1))
+
+
+def digests(shingle: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """One hash of each set; zero for a set without a shingle."""
+    filled = np.flatnonzero(np.diff(edge))
+    sig = np.zeros(len(edge) - 1, dtype=U)
+    if len(filled):
+        sig[filled] = mix(np.add.reduceat(mix(shingle ^ U(0xA5A5A5A5A5A5A5A5)), edge[:-1][filled]))
+    return sig
+
+
+def band_keys(shingle: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """The keys of each set, one a band; zeros for a set without a shingle."""
+    filled = np.flatnonzero(np.diff(edge))
+    keys = np.zeros((len(edge) - 1, BANDS), dtype=U)
+    if len(filled):
+        at = edge[:-1][filled]
+        for band in range(BANDS):
+            key = np.full(len(filled), band + 1, dtype=U)
+            for factor in FACTORS[band * ROWS:(band + 1) * ROWS]:
+                key = mix(key * U(3) + np.minimum.reduceat(shingle * factor, at))
+            keys[filled, band] = key
+    return keys
+
+
+def with_bands(rows: DataFrame) -> DataFrame:
+    """``rows`` with the set of ``text`` as ``sig``, ``size`` and ``bands`` in place of the text."""
+    at_text = rows.columns.index("text")
+    rest = [i for i in range(len(rows.columns)) if i != at_text]
+    schema = StructType([*[rows.schema.fields[i] for i in rest], StructField("sig", LongType()),
+                         StructField("size", IntegerType()), StructField("bands", ArrayType(LongType()))])
+
+    def of(batches):
+        for batch in batches:
+            sig, size, keys = [np.zeros(0, dtype=U)], [np.zeros(0, dtype=np.int64)], [np.zeros((0, BANDS), dtype=U)]
+            for _, run in runs(blobs_of(batch.column(at_text))):
+                shingle, edge = sets_of(run)
+                sig.append(digests(shingle, edge))
+                size.append(np.diff(edge))
+                keys.append(band_keys(shingle, edge))
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS),
+                pa.array(np.concatenate(keys).reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(i) for i in rest], pa.array(np.concatenate(sig).view(np.int64)),
+                 pa.array(np.concatenate(size).astype(np.int32)), lists], names=schema.names)
+
+    return rows.mapInArrow(of, schema)
+
+
+def slots(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word and bit of each hash in a sieve of 2 ** SIEVE_WORDS words."""
+    return (sig >> U(64 - SIEVE_WORDS)).astype(np.int64), U(1) << (sig & U(63))
+
+
+def sieve_of(wanted: DataFrame) -> np.ndarray:
+    """Bits that are set for each ``sig``; of a fixed size, whatever the number."""
+    word, bit = F.shiftrightunsigned("sig", 64 - SIEVE_WORDS), F.expr("shiftleft(1L, CAST(sig & 63 AS INT))")
+    found = wanted.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    sieve = np.zeros(1 << SIEVE_WORDS, dtype=U)
+    sieve[found.column(0).to_numpy()] = found.column(1).to_numpy().view(U)
+    return sieve
+
+
+def with_set(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``sig`` and the sorted ``shingles`` of the texts with a wanted ``sig``, few others among them."""
+    sent = docs.sparkSession.sparkContext.broadcast(sieve_of(wanted))
+
+    def of(batches):
+        sieve = sent.value
+        for batch in batches:
+            for _, run in runs(blobs_of(batch.column(0))):
+                shingle, edge = sets_of(run)
+                sig = digests(shingle, edge)
+                word, bit = slots(sig)
+                some = np.flatnonzero((np.diff(edge) > 0) & (sieve[word] & bit != 0))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(sig[some].view(np.int64)),
+                     pa.array([shingle[edge[i]:edge[i + 1]].tobytes() for i in some], pa.binary())],
+                    names=["sig", "shingles"])
+
+    return docs.select("text").mapInArrow(
+        of, StructType([StructField("sig", LongType()), StructField("shingles", BinaryType())]))
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """Pairs ``a`` < ``b`` of sets (sig, bands) that share a bucket."""
+    keys = nodes.select("sig", F.explode("bands").alias("key"))
+    buckets = written(keys.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("n > 1"), "buckets")
+    # Of two sets the bucket is the pair already; others meet their members again.
+    two = buckets.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    members = written(keys.join(buckets.where("n > 2"), "key"), "members")
+    few = members.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list("sig").alias("all"))
+    few = few.select("all", F.explode("all").alias("a")).select("a", F.explode("all").alias("b"))
+    many = members.where(F.col("n") > SMALL)
+    stars = [many.select(F.col(end).alias("a"), F.col("sig").alias("b")) for end in ("lo", "hi")]
+    return two.union(few).union(stars[0]).union(stars[1]).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
+
+
+def similarity(one: bytes, other: bytes) -> float:
+    a, b = np.frombuffer(one, dtype=U), np.frombuffer(other, dtype=U)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def near(docs: DataFrame, prints: DataFrame, least: float = LEAST) -> DataFrame:
+    """Links ``a``, ``b`` of fingerprints whose texts are near copies.
+
+    ``prints`` has the fingerprint and the set of each text of ``docs``.
+    """
+    nodes = written(prints.where("size > 0").groupBy("sig").agg(
+        F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
+    pairs = candidates(nodes.select("sig", "bands"))
+    for end in ("a", "b"):
+        about = nodes.select(F.col("sig").alias(end), F.col("fp").alias(f"fp_{end}"), F.col("size").alias(f"size_{end}"))
+        pairs = pairs.join(about, end)
+    enough = F.least("size_a", "size_b") >= F.lit(least) * F.greatest("size_a", "size_b")
+    pairs = written(pairs.where(enough).select("a", "b", "fp_a", "fp_b"), "candidates")
+    wanted = written(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct(), "wanted")
+    # Copies of a set are equal, so any of them stands for it.
+    sets = written(
+        with_set(docs, wanted).join(wanted, "sig", "left_semi").groupBy("sig").agg(F.first("shingles").alias("shingles")), "sets")
+    one = sets.select(F.col("sig").alias("a"), F.col("shingles").alias("set_a"))
+    other = sets.select(F.col("sig").alias("b"), F.col("shingles").alias("set_b"))
+    met = pairs.join(one, "a").join(other, "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"), "set_a", "set_b")
+
+    def verified(batches):
+        for batch in batches:
+            ok = [similarity(x.as_py(), y.as_py()) >= least for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    linked = met.mapInArrow(verified, "a long, b long")
+    # Equal sets in another order or number can have other fingerprints.
+    equal = prints.select("sig", F.col("fp").alias("b")).distinct().join(nodes.select("sig", F.col("fp").alias("a")), "sig").select("a", "b")
+    return linked.union(equal).where("a != b").distinct()
