@@ -93,3 +93,52 @@ def test_one_long_repeat_is_rejected(spark):
     text = passage + " " + " ".join(f"m{i}" for i in range(20)) + " " + passage
     row = repetition.measure(spark.createDataFrame([(1, text)], "doc_id int, text string")).first()
     assert row.longest_repeat == 45 and row.n_covered == 90 and not row.kept
+
+
+def test_each_limit_decides_alone():
+    fresh = iter(range(100_000))
+    new = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+
+    def measured(*parts):
+        found = repetition.measures(Run([" ".join(sum(parts, [])).encode()]))
+        return {name: value[0] for name, value in found.items()}
+
+    # Three passages of 15 words twice: 90 of 200 words are repeated, none of them is long.
+    a, b, c = new(15), new(15), new(15)
+    many = measured(a, new(40), b, new(30), c, a, new(20), b, new(20), c)
+    assert not many["base_failed"] and many["covered"] == 0.45 and many["longest_repeat"] <= 0.175 * 200
+    assert not many["kept"]
+    # One passage of 38 words twice: 76 of 200 words.
+    passage = new(38)
+    one = measured(passage, new(80), passage, new(44))
+    assert not one["base_failed"] and one["covered"] == 0.38 and one["longest_repeat"] == 38 and not one["kept"]
+    # The same share in short repeats, and one line of 10 words twice in a text of 70, stay.
+    a, b, c, e = new(9), new(9), new(10), new(10)
+    short = measured(a, new(40), b, new(30), c, e, a, new(20), b, new(34), c, new(1), e)
+    assert short["kept"] and short["covered"] > 0.37
+    line = new(10)
+    assert measured(new(20), line, new(15), line, new(15))["kept"]
+
+
+def test_copies_apart_against_all_substrings(monkeypatch):
+    rng = random.Random(7)
+    monkeypatch.setattr(repetition, "MAX_COVERED", 1.0)
+    seen = set()
+    for _ in range(300):
+        n = rng.randint(50, 90)
+        words = [f"{rng.randint(0, 10**9)}" for _ in range(n)]
+        for _ in range(rng.randint(1, 3)):
+            size, at = rng.randint(1, 18), rng.randint(0, n - 40)
+            to = at + rng.randint(1, 20)
+            for i in range(size):
+                words[to + i] = words[at + i]
+        limit = int(repetition.MAX_LONGEST * n) + 1
+        places: dict = {}
+        for at in range(n - limit + 1):
+            places.setdefault(tuple(words[at:at + limit]), []).append(at)
+        far = any(p[-1] - p[0] >= limit for p in places.values())
+        found = repetition.measures(Run([b"x y", " ".join(words).encode(), b""]))
+        assert found["kept"][1] == (not found["base_failed"][1] and not far)
+        if not found["base_failed"][1]:
+            seen.add(far)
+    assert seen == {True, False}

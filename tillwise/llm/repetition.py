@@ -7,8 +7,12 @@ depth ``d`` is a substring of ``d`` words found at two or more places; the
 deepest interval around a suffix is the longest repeat that starts there, and
 all others are covered by it. The union of the repeats of at least
 ``MIN_REPEAT`` words is the repeated part of a text. A text is rejected if
-that part is more than ``MAX_COVERED`` of its words, or if one repeat is more
-than ``MAX_LONGEST`` of them.
+that part is more than ``MAX_COVERED`` of its words, or if one substring of more
+than ``MAX_LONGEST`` of them stands at two places apart. (``longest_repeat``
+counts places that overlap as well; a repeat of L words in that sense has two
+copies apart of L / 2 or more.) Words in such repeats are in repeated windows of
+three, so a share over 0.5, or two copies of over 0.25, fails the base rule
+already; both limits are below that and decide on their own.
 
 Suffixes of different texts differ in their first symbol, so many texts are
 sorted in one go and repeats never cross texts. The rules read each text once,
@@ -32,8 +36,9 @@ from tillwise.llm.textbatch import SPACE, Run, U, blobs_of, mix, runs
 from tillwise.llm.workspace import plain_names
 
 MIN_REPEAT = 8
-MAX_COVERED = 0.5
-MAX_LONGEST = 0.35
+# Above what texts of good quality with one line twice have (README).
+MAX_COVERED = 0.4
+MAX_LONGEST = 0.175
 MIN_WORDS = 50
 # The characters that count as symbols.
 SYMBOLS = np.zeros(256, bool)
@@ -115,6 +120,18 @@ def suffix_array(symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return suffix, lcp
 
 
+def apart(suffix: np.ndarray, lcp: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """The first suffix of each group with equal ``least`` words, two copies of which don't overlap.
+
+    ``least`` is at least 1 and equal for suffixes with a common word.
+    """
+    inside = lcp >= least[suffix]
+    first = np.flatnonzero(~inside)
+    spread = np.maximum.reduceat(suffix, first) - np.minimum.reduceat(suffix, first)
+    head = suffix[first]
+    return head[spread >= least[head]]
+
+
 def measures(run: Run) -> dict[str, np.ndarray]:
     """The measures of each text of a run."""
     k = len(run)
@@ -149,6 +166,7 @@ def measures(run: Run) -> dict[str, np.ndarray]:
     n = len(start)
     longest = np.zeros(n, dtype=np.int64)
     n_repeats = np.zeros(k, dtype=np.int64)
+    long_repeat = np.zeros(k, bool)
     if n:
         suffix, lcp = suffix_array(mix(of_word + doc.astype(U) * U(0x9E3779B97F4A7C15)))
         deep = np.maximum(lcp, np.append(lcp[1:], 0))
@@ -156,6 +174,8 @@ def measures(run: Run) -> dict[str, np.ndarray]:
         # Each run of neighbours at least MIN_REPEAT deep is one such interval.
         opens = (lcp >= MIN_REPEAT) & (np.concatenate(([0], lcp[:-1])) < MIN_REPEAT)
         n_repeats = np.bincount(doc[suffix[opens]], minlength=k)
+        limit = np.floor(MAX_LONGEST * n_words).astype(np.int64) + 1
+        long_repeat[doc[apart(suffix, lcp, limit[doc])]] = True
     at = np.flatnonzero(longest >= MIN_REPEAT)
     n_covered = np.bincount(doc[union(at, longest[at], n)], minlength=k)
     longest_repeat = np.zeros(k, dtype=np.int64)
@@ -163,7 +183,7 @@ def measures(run: Run) -> dict[str, np.ndarray]:
 
     base_failed = (n_words < MIN_WORDS) | (100 * n_repeat_words > 50 * n_words)
     covered = n_covered / np.maximum(n_words, 1)
-    kept = ~base_failed & (covered <= MAX_COVERED) & (longest_repeat <= MAX_LONGEST * n_words)
+    kept = ~base_failed & (covered <= MAX_COVERED) & ~long_repeat
     return {
         "n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols,
         "n_dup_lines": n_dup_lines, "n_repeat_words": n_repeat_words, "base_failed": base_failed,
