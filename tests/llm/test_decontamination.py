@@ -111,3 +111,34 @@ def test_cases(spark):
     assert sorted(r["item_id"] for r in d.clean(docs, bench).collect()) == ["b", "c", "f"]
     assert d.leaks(docs.limit(0), bench).count() == 0 and d.leaks(docs, bench.limit(0)).count() == 0
     assert d.clean(docs, bench.limit(0)).count() == len(rows)
+
+
+def test_edited_copies_with_one_ngram_left(spark):
+    """All pairs with a common trigram, with the intact items among the texts too."""
+    rng = random.Random(21)
+    items = [[f"i{i}w{k}" for k in range(rng.choice([16, 16, 18, 24, 40]))] for i in range(40)]
+    docs = [sentence(rng, 10) + [w if k % 4 != 3 else "other" for k, w in enumerate(item)] + sentence(rng, 5) for item in items]
+    docs += [sentence(rng, 8) + edit(rng, item, rng.choice([0.3, 0.4, 0.5])) for item in items for _ in range(6)]
+    # Stretched by words put in at one place, behind or before most of the item.
+    docs += [item[:k] + [f"in{x}" for x in range(int(0.7 * len(item)))] + item[k:] for item in items[:10] for k in (4, len(item) - 4)]
+    docs += items[::2]
+    want, without_four = {}, 0
+    for i, t in enumerate(docs):
+        for j, w in enumerate(items):
+            tri = {tuple(t[k:k + 3]) for k in range(len(t) - 2)} & {tuple(w[k:k + 3]) for k in range(len(w) - 2)}
+            score = smith_waterman(w, t) / (2 * len(w))
+            if tri and score >= d.LEAST:
+                want[i, j] = pytest.approx(score)
+                without_four += not {tuple(t[k:k + 4]) for k in range(len(t) - 3)} & {tuple(w[k:k + 4]) for k in range(len(w) - 3)}
+    assert without_four >= 40
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id): r.score for r in d.leaks(frame, bench).collect()} == want
+
+
+def test_ngrams_in_no_text_are_no_neighbours():
+    items = d.items_of(pa.array([1]), [b"a b c d e f g h"], 3, 96)
+    _, word_of = d.grams(np.zeros(8, int), items.words, 3)
+    count = np.zeros(len(items.gram), dtype=np.int64)
+    count[np.searchsorted(items.gram, word_of[2])] = 5
+    assert items.at_offset[d.rare(items, count, 2)].tolist() == [2]

@@ -1,14 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, Smith-Waterman alignment.
 
 Test items are cut into segments of at most ``SEGMENT`` tokens (runs of
 letters and digits, A-Z in lower case), half overlapping. Every text's n-grams
-are looked up among the items' n-grams, and the number of texts that hold each
-is counted over all texts. Of each ``SPREAD`` neighbouring n-grams of a segment
-the rarest is a seed: common phrases seed nothing while every stretch of
-``WORDS + SPREAD - 1`` tokens keeps one, however many texts share it; a copy
-without one such stretch left whole is not found. Each seed found in a text
-joins it to the segment at a diagonal; seeds on near diagonals share one
-window of the text. The window and the segment are aligned word by word
+are looked up among the items' n-grams; each that is found joins the text to the
+segment at a diagonal, so a copy is found if one n-gram of it is left whole. Seeds
+on near diagonals share one window of the text, which reaches as far as an
+alignment through them can with the score of a leak. A window that holds too few
+of the segment's words for that score is left out, so common phrases cost a count
+of words and no alignment. (At a ``spread`` above 1 only the rarest of as many
+neighbouring n-grams found in any text is a seed; that is cheaper and loses copies
+whose own n-grams are less rare than their neighbours in other texts.) The window
+and the segment are aligned word by word
 (match 2, mismatch -1, gap -1). A score of ``LEAST`` of the best possible one,
 or more, is a leak: edits, dropped and inserted words lower the score a little
 and no longer.
@@ -38,7 +40,7 @@ from tillwise.llm.quality_classifier import KIND, tokens
 from tillwise.llm.textbatch import Run, U, blobs_of, mix, runs
 
 WORDS = 3
-SPREAD = 2
+SPREAD = 1
 SEGMENT = 96
 LEAST = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -116,9 +118,13 @@ def found(keys: np.ndarray, known: np.ndarray, sieve: np.ndarray) -> tuple[np.nd
 
 
 def rare(items: Items, count: np.ndarray, spread: int) -> np.ndarray:
-    """Places whose n-gram is the rarest of some ``spread`` neighbours (the first of equals)."""
+    """Places whose n-gram is the rarest of some ``spread`` neighbours (the first of equals).
+
+    N-grams found in no text (count 0) can seed nothing and are no neighbours.
+    """
     chosen = np.zeros(len(items.at_gram), bool)
     often = count[items.at_gram]
+    often = np.where(often > 0, often, np.iinfo(np.int64).max)
     edge = np.searchsorted(items.at_segment, np.arange(len(items.item) + 1))
     for lo, hi in zip(edge[:-1], edge[1:], strict=True):
         own = often[lo:hi]
@@ -127,7 +133,29 @@ def rare(items: Items, count: np.ndarray, spread: int) -> np.ndarray:
             continue
         view = np.lib.stride_tricks.sliding_window_view(own, spread)
         chosen[lo + np.arange(len(view)) + view.argmin(axis=1)] = True
-    return np.flatnonzero(chosen)
+    return np.flatnonzero(chosen & (often < np.iinfo(np.int64).max))
+
+
+def spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The positions of spans, one after the other."""
+    return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())
+
+
+def shared(items: Items, segment: np.ndarray, start: np.ndarray, stop: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """How many words of each segment stand anywhere in the tokens start:stop."""
+    number = np.zeros(len(segment), dtype=np.int64)
+    length = items.bounds[segment + 1] - items.bounds[segment]
+    size = np.cumsum(length + stop - start)
+    at = 0
+    while at < len(segment):
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + (1 << 17))))
+        which = np.arange(at, to)
+        salt = mix(which.astype(U) * U(0x9E3779B97F4A7C15))
+        text = word[spans(start[at:to], (stop - start)[at:to])] ^ np.repeat(salt, (stop - start)[at:to])
+        own = items.words[spans(items.bounds[segment[at:to]], length[at:to])] ^ np.repeat(salt, length[at:to])
+        number[at:to] = np.bincount(np.repeat(which - at, length[at:to])[np.isin(own, text)], minlength=to - at)
+        at = to
+    return number
 
 
 def align(items: Items, segment: np.ndarray, start: np.ndarray, stop: np.ndarray, word: np.ndarray):
@@ -177,8 +205,7 @@ def leaks_in(run: Run, items: Items, gram: np.ndarray, first: np.ndarray, places
     if not len(hit):
         return []
     n = first[which + 1] - first[which]
-    index = np.repeat(first[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    place, token = places[index], np.repeat(at[hit], n)
+    place, token = places[spans(first[which], n)], np.repeat(at[hit], n)
     segment, diagonal = items.at_segment[place], token - items.at_offset[place]
     length = items.bounds[segment + 1] - items.bounds[segment]
     whose = doc[token]
@@ -190,9 +217,13 @@ def leaks_in(run: Run, items: Items, gram: np.ndarray, first: np.ndarray, places
     head = np.flatnonzero(fresh)
     tail = np.append(head[1:], len(order)) - 1
     edge = np.searchsorted(doc, np.arange(len(run) + 1))
-    whose, segment, pad = whose[head], segment[head], length[head] // 2 + 1
+    # A leak's score leaves room for this many gaps.
+    whose, segment, pad = whose[head], segment[head], np.ceil((1 - least) * -MATCH / GAP * length[head]).astype(np.int64) + 1
     lo = np.maximum(diagonal[head] - pad, edge[whose])
     hi = np.minimum(diagonal[tail] + length[head] + pad, edge[whose + 1])
+    # Each word of the segment adds MATCH at most, and only if the window has it.
+    may = shared(items, segment, lo, hi, word) >= least * (items.bounds[segment + 1] - items.bounds[segment])
+    whose, segment, lo, hi = whose[may], segment[may], lo[may], hi[may]
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     by_width = np.argsort(hi - lo, kind="stable")
     at_ = 0
@@ -224,7 +255,7 @@ def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[pa.Array, l
 
 
 def prepared(docs: DataFrame, benchmark: DataFrame, words: int, spread: int, segment: int, block_bytes: int):
-    """Each block of items with the places of its seeds, rarity counted over all texts."""
+    """Each block of items with the places of its seeds; rarity, where it matters, is counted over all texts."""
     spark = docs.sparkSession
     for ids, blobs in blocks(benchmark, block_bytes):
         items = items_of(ids, blobs, words, segment)
@@ -242,9 +273,11 @@ def prepared(docs: DataFrame, benchmark: DataFrame, words: int, spread: int, seg
                     pair = np.unique(doc[at[hit]] * len(gram) + which)
                     yield pa.RecordBatch.from_arrays([pa.array((pair % len(gram)).astype(np.int32))], names=["gram"])
 
-        count = np.zeros(len(items.gram), dtype=np.int64)
-        for g, n in docs.select("text").mapInArrow(held, "gram int").groupBy("gram").count().collect():
-            count[g] = n
+        count = np.ones(len(items.gram), dtype=np.int64)
+        if spread > 1:
+            count[:] = 0
+            for g, n in docs.select("text").mapInArrow(held, "gram int").groupBy("gram").count().collect():
+                count[g] = n
         place = rare(items, count, spread)
         place = place[np.argsort(items.at_gram[place], kind="stable")]
         used, first = np.unique(items.at_gram[place], return_index=True)
