@@ -90,3 +90,39 @@ def test_documents(spark):
     assert sorted(r["fp"] for r in kept.collect()) == ["d", "n", "q", "y"]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
     assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("radius", [1, 2, 3])
+def test_links_at_any_radius(spark, radius):
+    rng = random.Random(radius)
+    # 10 and 11 differ in one bit; their buckets have smaller ones two bits from the other.
+    prints = {0b1010, 0b1011, 0b0010, 0b0011 | 1 << 10, 0b1001, 0b1000}
+    for _ in range(12):
+        fp = rng.getrandbits(64)
+        prints |= {fp} | {fp ^ sum(1 << b for b in rng.sample(range(12), rng.randint(1, 3))) for _ in range(6)}
+    # Pairs one bit apart, with a smaller one within one bit of either and two of the other.
+    for _ in range(10):
+        b = rng.getrandbits(64) | 0b110 << 20
+        c = b ^ 1
+        prints |= {b, c, b ^ 1 << 21, c ^ 1 << 22}
+    signed = {p - (1 << 64) if p >> 63 else p for p in prints}
+    got = {(r.a, r.b) for r in simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), radius).collect()}
+    near = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= radius}
+    assert {tuple(sorted(p)) for p in got} <= near
+
+    def classes(pairs):
+        parent = {p: p for p in signed}
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in pairs:
+            parent[root(a)] = root(b)
+        groups = {}
+        for p in signed:
+            groups.setdefault(root(p), set()).add(p)
+        return {frozenset(g) for g in groups.values()}
+
+    assert classes(got) == classes(near)

@@ -4,7 +4,7 @@ A fingerprint has a bit set if it is set in over half of the hashes of the
 text's three-word shingles. Two fingerprints at most ``radius`` bits apart have
 a value between them at most half of that from each. So every distinct
 fingerprint emits all values within half the radius; a shuffle brings equal
-values together; a bucket is kept as the set of bits that lead to it, in one row; each bucket links its fingerprints to its smallest one, which
+values together; a bucket is kept as the set of bits that lead to it, in one row; each bucket links its fingerprints to one of them, which
 keeps all that share a bucket connected without forming their pairs; links are
 deduplicated, and verified by counting the differing bits. Distinct
 fingerprints that share a value differ from it in different bits, so with half
@@ -80,8 +80,11 @@ def as_hex(fp: Column) -> Column:
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links ``a``, ``b`` that connect all distinct ``fp`` within ``radius`` bits.
 
-    Any two within the radius are linked directly or through the smallest
-    fingerprint of a shared bucket, to which both are linked.
+    Any two within the radius are linked directly or through one fingerprint of
+    a shared bucket, to which both are linked: the smallest of those within half
+    the radius, rounded down, of the bucket's value. The others are within half
+    of it, rounded up, so at an odd radius too no such link is beyond it, and of
+    any two within the radius one is that near to some value both emit.
     """
     flips = [0]
     for _ in range((radius + 1) // 2):
@@ -96,15 +99,22 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
         F.bit_or(F.expr(f"CASE WHEN flip BETWEEN {lo} AND {lo + 62} THEN shiftleft(1L, flip - {lo}) ELSE 0L END")).alias(f"set{lo}")
         for lo in words])
     number = sum((F.bit_count(f"set{lo}") for lo in words[1:]), F.bit_count(f"set{words[0]}"))
-    members = F.concat(*[
-        F.filter(
-            F.array(*[F.when(F.col(f"set{lo}").bitwiseAND(F.lit(1 << i)) != 0, F.col("variant").bitwiseXOR(F.lit(f)))
-                      for i, f in enumerate(signed[lo:lo + 63])]),
-            lambda x: x.isNotNull())
-        for lo in words])
-    found = buckets.where(number > 1).select(members.alias("fps")).select(
-        F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a != b").distinct()
-    # Buckets of a wider ball may hold pairs beyond the radius; none at an even one.
+
+    def members(most: int) -> Column:
+        """The fingerprints of a bucket that are at most ``most`` bits from its value."""
+        return F.concat(*[
+            F.filter(
+                F.array(*[F.when(F.col(f"set{lo}").bitwiseAND(F.lit(1 << i)) != 0, F.col("variant").bitwiseXOR(F.lit(f)))
+                          for i, f in enumerate(signed[lo:lo + 63]) if flips[lo + i].bit_count() <= most]),
+                lambda x: x.isNotNull())
+            for lo in words if any(f.bit_count() <= most for f in flips[lo:lo + 63])])
+
+    inner = "fps"
+    buckets = buckets.where(number > 1)
+    if radius % 2:
+        buckets, inner = buckets.withColumn("inner", members(radius // 2)), "inner"
+    found = buckets.withColumn("fps", members(64)).select(
+        F.array_min(inner).alias("a"), F.explode("fps").alias("b")).where("a != b").distinct()
     return found.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
