@@ -5,12 +5,12 @@ Every byte of a ``WIDTH``-byte string that also starts elsewhere is removed.
 **Construction.** ``transform`` builds the transform and the common prefixes of
 a collection column by column: round ``j`` inserts, for each document of the
 collection at once, the suffix of length ``j``. Where it goes follows from the
-transform so far, read front to back: the places of a symbol in it are, in
-order, the suffixes that start with that symbol. The same reading gives the
+transform so far: the places of a symbol in it are, in
+order, the suffixes that start with that symbol. The same order gives the
 common prefix with both neighbours as one more than the least on the way from
-one place of the symbol to the next. Each round writes new sequences from the
-old ones front to back, as the method does with external files; a block is
-small enough to keep its files as arrays in the task's memory.
+one place of the symbol to the next. Here the rounds don't read front to back:
+a block is small enough to keep the transform as arrays in the task's memory,
+and places are found by binary search in them.
 
 **What goes into a collection.** All strings of ``WIDTH`` bytes with the same
 content share their least ``GRAM``-byte hash (leftmost of equals). A text is cut
@@ -29,6 +29,9 @@ Defined results: null and empty texts have nothing to remove and keep the empty
 string's hash; texts shorter than ``WIDTH`` stay whole; repeated rows, equal
 texts included, cover each other wholly; null ids are carried; an empty table
 gives no rows; other columns are not read.
+
+Equal pieces, and minimisers above ``HOT``, are decided by counting hashes, not
+by the transform.
 """
 
 from __future__ import annotations
