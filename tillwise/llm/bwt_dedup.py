@@ -41,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -307,11 +308,11 @@ def mixed(run: Run, start: np.ndarray, width: int) -> np.ndarray:
 
 def _flat(found: pa.Array) -> tuple[np.ndarray, ...]:
     """A column of pieces as arrays: whose, at, content, and where the ranges of each lie in the last (-1: none)."""
-    rows = pa.compute.list_parent_indices(found).to_numpy()
+    rows = pc.list_parent_indices(found).to_numpy()
     pieces = found.flatten()
     ranges = pieces.field("ranges")
-    size = pa.compute.fill_null(pa.compute.list_value_length(ranges), 0).to_numpy().astype(np.int64)
-    none = pa.compute.is_null(ranges).to_numpy(zero_copy_only=False)
+    size = pc.fill_null(pc.list_value_length(ranges), 0).to_numpy().astype(np.int64)
+    none = pc.is_null(ranges).to_numpy(zero_copy_only=False)
     last = np.cumsum(size)
     first = np.where(none, -1, last - size)
     return (rows, pieces.field("at").to_numpy(), pieces.field("content").to_numpy(), first,

@@ -160,6 +160,7 @@ def laid_out(rows: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
     parallel writers do; a file ends with the record that passes ``file_bytes``.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
     from pyspark import TaskContext
     from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -169,7 +170,7 @@ def laid_out(rows: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
         writer, file, at = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             names, offsets = [], []
-            for size in pa.compute.binary_length(batch.column(1)).to_pylist():
+            for size in pc.binary_length(batch.column(1)).to_pylist():
                 names.append(f"{writer:05d}-{file:05d}.warc")
                 offsets.append(at)
                 at += size

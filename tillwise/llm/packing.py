@@ -39,7 +39,8 @@ from tillwise.llm.textbatch import LOWER, Run, blobs_of, runs
 SIZE = 2048
 END = 1
 BLOCK = 1 << 19
-CACHED = 300_000
+# Units whose ids a worker remembers, twice: some 15 MB.
+CACHED = 40_000
 RUN_BYTES = 4 << 20
 # Between an ASCII letter or digit and one of these the tokenizer always cuts.
 # Not so before an apostrophe, which may begin a piece with letters.

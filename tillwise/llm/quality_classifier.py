@@ -14,7 +14,8 @@ per text in a pass over the table without a shuffle.
 
 Defined results: null and empty texts have no slots and score by the intercept
 alone; a null id or label is not learned from; several labels of one id count
-as their smallest; with no label at all, or none of a kind, every score is the
+as their smallest; of several texts of one id the one with the smallest hash
+is learned from; with no label at all, or none of a kind, every score is the
 share of label 1 (0.5 without labels). Repeated rows are scored alike.
 """
 
@@ -115,7 +116,8 @@ def train(
         .groupBy(F.col("doc_id").alias("_id")).agg(F.min(label).cast("int").alias("_y"))
         .withColumn("_order", F.xxhash64("_id")).orderBy("_order", "_id").limit(sample)
     )
-    texts = docs.join(F.broadcast(known), docs["doc_id"] == known["_id"]).select("_order", "_id", "_y", "text")
+    texts = docs.join(F.broadcast(known), docs["doc_id"] == known["_id"]).select(
+        "_order", "_id", "_y", "text", F.xxhash64("text").alias("_text"))
 
     def vectors(batches):
         for batch in batches:
@@ -124,20 +126,20 @@ def train(
                 cut = np.searchsorted(doc, np.arange(len(run) + 1))
                 part = batch.slice(at, len(run))
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), part.column(1), part.column(2),
+                    part.column(0), part.column(1), part.column(2), part.column(4),
                     pa.ListArray.from_arrays(cut.astype(np.int32), pa.array(slot.astype(np.int32))),
                     pa.ListArray.from_arrays(cut.astype(np.int32), pa.array(value)),
-                ], names=["_order", "_id", "_y", "slot", "value"])
+                ], names=["_order", "_id", "_y", "_text", "slot", "value"])
 
     def learn(frames):
-        rows = pd.concat([pd.DataFrame(columns=["_order", "_id", "_y", "slot", "value"]), *frames])
-        rows = rows.drop_duplicates("_id").sort_values(["_order", "_id"])
+        rows = pd.concat([pd.DataFrame(columns=["_order", "_id", "_y", "_text", "slot", "value"]), *frames])
+        rows = rows.sort_values(["_order", "_id", "_text"]).drop_duplicates("_id")
         weights = fit(list(zip(rows["slot"], rows["value"], rows["_y"], strict=True)), bits)
         yield pd.DataFrame({"weights": [weights.astype(np.float32).tobytes()]})
 
     id_type = labels.schema["doc_id"].dataType.simpleString()
     sparse = texts.mapInArrow(
-        vectors, f"_order long, _id {id_type}, _y int, slot array<int>, value array<double>")
+        vectors, f"_order long, _id {id_type}, _y int, _text long, slot array<int>, value array<double>")
     made = sparse.repartition(1).mapInPandas(learn, "weights binary").collect()
     return np.frombuffer(made[0][0], dtype=np.float32) if made else np.zeros((1 << bits) + 1, np.float32)
 
@@ -146,7 +148,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """``docs`` (with a ``text``) with a ``score`` from 0 to 1 added or replaced."""
     bits = (len(weights) - 1).bit_length() - 1
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    kept = [c for c in docs.columns if c != "score"]
+    kept = [c for c in docs.columns if c.lower() != "score"]
     at_text = kept.index("text")
 
     def dots(batches):

@@ -10,9 +10,8 @@ deduplicated, and verified by counting the differing bits. Distinct
 fingerprints that share a value differ from it in different bits, so with half
 radius 1 a bucket has 65 at most, however many copies a text has.
 
-Components of the links get the smallest document id in reach. Two bits catch
-little beyond exact copies, so ``near_duplicates`` and ``keep_one`` also link
-near copies by five-word shingles (``shingles``); op8 goes by the bits alone.
+Components of the links get the smallest document id in reach. Links go by the
+bits alone: no word similarity is checked beside them.
 
 Defined results: null, empty and blank texts have the fingerprint zero and are
 linked like any other; with fewer than three words the whole sequence is the
@@ -30,7 +29,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tillwise.llm import shingles
 from tillwise.llm.components import components
 from tillwise.llm.textbatch import blobs_of
 from tillwise.llm.workspace import plain_names, written
@@ -118,44 +116,33 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return found.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
-def classes(prints: DataFrame, radius: int = RADIUS, more: DataFrame | None = None) -> DataFrame:
-    """``fp``, ``component`` (a fingerprint) and ``component_id`` of each fingerprint in (doc_id, fp).
-
-    ``more`` has further links ``a``, ``b`` of fingerprints.
-    """
+def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``fp``, ``component`` (a fingerprint) and ``component_id`` of each fingerprint in (doc_id, fp)."""
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprints")
-    edges = links(distinct.select("fp"), radius)
-    found = components(edges if more is None else edges.union(more)).withColumnRenamed("node", "fp")
+    found = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
     named = distinct.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     return written(named.join(least, "component").select("fp", "component", "component_id"), "classes")
 
 
-def grouped(docs: DataFrame, radius: int, least: float | None) -> tuple[DataFrame, DataFrame]:
+def grouped(docs: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
     """The fingerprint of each row of ``docs`` (doc_id, text), and the classes."""
     rows = with_fingerprint(docs.select("doc_id", "text"), "fp")
-    if least is None:
-        prints = written(rows.select("doc_id", "fp"), "prints")
-        return prints, classes(prints, radius)
-    prints = written(shingles.with_bands(rows), "prints")
-    return prints, classes(prints, radius, shingles.near(docs, prints, least))
+    prints = written(rows.select("doc_id", "fp"), "prints")
+    return prints, classes(prints, radius)
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, least: float | None = shingles.LEAST) -> DataFrame:
-    """One row per document: doc_id, fingerprint, component_id.
-
-    Fingerprints within ``radius`` bits are linked, and near copies by
-    ``shingles`` at a similarity of ``least`` or more; ``None`` leaves those out.
-    """
-    prints, made = grouped(docs, radius, least)
+def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One row per document: doc_id, fingerprint, component_id."""
+    prints, made = grouped(docs, radius)
     return prints.select("doc_id", "fp").join(made, "fp").select(
         "doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS, least: float | None = shingles.LEAST) -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The document with the smallest id of each component, with its own columns."""
     plain = plain_names(docs)
-    _, made = grouped(plain, radius, least)
+    _, made = grouped(plain, radius)
     rows = with_fingerprint(plain, "fp")
     first = rows.join(made, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # Repeated ids leave more than one such row: the one with the smallest print and text stays.

@@ -199,7 +199,7 @@ def attach(docs: DataFrame, edits: DataFrame) -> DataFrame:
 def count(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``docs`` (with ``text`` and ``edits``, a list of start, stop, new) with the columns of ``COUNTS``."""
     path = path or rank_file()
-    kept = [c for c in docs.columns if c not in COUNTS]
+    kept = [c for c in docs.columns if c.lower() not in COUNTS]
     frame = docs.select(*[F.col(f"`{c}`") for c in kept])
     at_text, at_edits = kept.index("text"), kept.index("edits")
 

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tillwise.session import scratch_path, ship
 
-# Rows in an Arrow batch on its way to a Python task; texts are long.
+# Rows and bytes in an Arrow batch on its way to a Python task; texts are long.
 BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:
     """The session with this package on its executors and batches of whole texts kept small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return ship(spark)
 
 
