@@ -23,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays: the one with the smallest id."""
+    """One document of each group of linked fingerprints stays: the one with the smallest id."""
     ready(spark)
     return simhash.keep_one(docs)
 
