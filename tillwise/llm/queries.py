@@ -15,6 +15,7 @@ from tillwise.llm import (
     quality_classifier,
     repetition,
     secrets,
+    setsketch,
     sharding,
     simhash,
     sql,
@@ -96,9 +97,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_classifier, op2_packing, op3_fixity_audit, op4_repetition, op5_bwt_dedup,
-        op6_secrets, op7_sharding, op8_simhash, op9_token_edits, op10_decontamination)
+        op6_secrets, op7_sharding, op8_simhash, op9_token_edits, op10_decontamination,
+        op12_setsketch)
 }
-ORACLE_SQL: dict[str, str] = {"op3_fixity_audit": sql.FIXITY, "op6_secrets": sql.secrets()}
+ORACLE_SQL: dict[str, str] = {
+    "op3_fixity_audit": sql.FIXITY, "op6_secrets": sql.secrets(),
+    "op12_setsketch": sql.NEAR}

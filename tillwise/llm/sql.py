@@ -58,3 +58,42 @@ SELECT any_value(doc_id) AS doc_id, {counts},
     coalesce(string_agg(told, ',' ORDER BY begin_, kind_no), '') AS spans
 FROM texts LEFT JOIN kept USING (row_no) GROUP BY row_no
 """
+
+
+# Near-duplicates: every pair of texts that shares a shingle, and its components by repeated look-up.
+NEAR = r"""
+WITH RECURSIVE texts AS (
+    SELECT row_number() OVER () AS row_no, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), listed AS (
+    SELECT row_no, doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(words) - 1),
+            lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) END AS shingles
+    FROM texts
+), sets AS (
+    SELECT min(row_no) AS set_no, min(doc_id) AS first_id, len(any_value(shingles)) AS n, any_value(shingles) AS shingles,
+        list(row_no) AS copies
+    FROM (SELECT *, md5(array_to_string(list_sort(shingles), chr(10))) AS digest FROM listed WHERE len(shingles) > 0)
+    GROUP BY digest
+), each AS (SELECT set_no, n, unnest(shingles) AS shingle FROM sets
+), links AS (
+    SELECT a.set_no AS a, b.set_no AS b
+    FROM each a JOIN each b ON a.shingle = b.shingle AND a.set_no < b.set_no
+        AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+    GROUP BY a.set_no, b.set_no, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+    SELECT set_no AS a, set_no AS b FROM sets
+    UNION
+    SELECT reach.a, ends.b FROM reach JOIN ends ON reach.b = ends.a
+), least AS (
+    SELECT reach.a AS set_no, min(first_id) AS component_id
+    FROM reach JOIN sets ON reach.b = sets.set_no GROUP BY reach.a
+), named AS (SELECT unnest(copies) AS row_no, component_id FROM sets JOIN least USING (set_no))
+SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles,
+    CASE WHEN len(shingles) = 0 THEN doc_id ELSE component_id END AS component_id,
+    doc_id IS NOT DISTINCT FROM CASE WHEN len(shingles) = 0 THEN doc_id ELSE component_id END AS kept
+FROM listed LEFT JOIN named USING (row_no)
+"""
