@@ -11,6 +11,7 @@ from tillwise.llm import (
     bwt_dedup,
     decontamination,
     fixity,
+    lexical,
     packing,
     quality_classifier,
     repetition,
@@ -97,6 +98,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -105,8 +110,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_classifier, op2_packing, op3_fixity_audit, op4_repetition, op5_bwt_dedup,
         op6_secrets, op7_sharding, op8_simhash, op9_token_edits, op10_decontamination,
-        op12_setsketch)
+        op11_lexical_search, op12_setsketch)
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_fixity_audit": sql.FIXITY, "op6_secrets": sql.secrets(),
-    "op12_setsketch": sql.NEAR}
+    "op11_lexical_search": sql.RANKED, "op12_setsketch": sql.NEAR}

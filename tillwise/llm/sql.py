@@ -97,3 +97,35 @@ SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles,
     doc_id IS NOT DISTINCT FROM CASE WHEN len(shingles) = 0 THEN doc_id ELSE component_id END AS kept
 FROM listed LEFT JOIN named USING (row_no)
 """
+
+
+# Ranked search: every document scored for every item.
+RANKED = r"""
+WITH texts AS (
+    SELECT row_number() OVER () AS row_no, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+), items AS (
+    SELECT item_no, item_id, unnest(list_distinct(terms)) AS term FROM (
+        SELECT row_number() OVER () AS item_no, item_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+        FROM benchmark)
+), total AS (
+    SELECT count(*) FILTER (len(terms) > 0) AS documents, CAST(sum(len(terms)) AS BIGINT) AS length FROM texts
+), counts AS (
+    SELECT row_no, doc_id, any_value(n) AS n, term, count(*) AS tf
+    FROM (SELECT row_no, doc_id, CAST(len(terms) AS BIGINT) AS n, unnest(terms) AS term FROM texts) GROUP BY row_no, doc_id, term
+), weights AS (
+    SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(documents) + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w
+    FROM counts, total GROUP BY term
+), scored AS (
+    SELECT item_no, item_id, row_no, doc_id,
+        CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * documents) // length)))) AS BIGINT) AS score
+    FROM items JOIN counts USING (term) JOIN weights USING (term), total GROUP BY item_no, item_id, row_no, doc_id
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY item_no ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 10
+"""
