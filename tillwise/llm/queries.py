@@ -19,6 +19,7 @@ from tillwise.llm import (
     setsketch,
     sharding,
     simhash,
+    spectrum,
     sql,
     token_edits,
 )
@@ -106,11 +107,16 @@ def op12_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectrum.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_classifier, op2_packing, op3_fixity_audit, op4_repetition, op5_bwt_dedup,
         op6_secrets, op7_sharding, op8_simhash, op9_token_edits, op10_decontamination,
-        op11_lexical_search, op12_setsketch)
+        op11_lexical_search, op12_setsketch,
+        op13_whitening)
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_fixity_audit": sql.FIXITY, "op6_secrets": sql.secrets(),
