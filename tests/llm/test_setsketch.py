@@ -114,8 +114,8 @@ def test_against_brute_force(spark):
     assert got(spark, []) == []
 
 
-def test_hubs_take_turns(spark):
-    """Texts of one bucket that no hub of the first round reaches are linked in later ones."""
+def test_members_that_the_hub_does_not_reach(spark):
+    """Texts of one bucket that are not similar to its hub are linked with each other."""
     rng = random.Random(8)
     template = text(rng, 270)
     rows = []
@@ -134,3 +134,16 @@ def test_long_text(spark):
     words = text(random.Random(2), 200_000)
     rows = [(1, " ".join(words)), (2, " ".join(words[:-5])), (3, " ".join(words[:100_000]))]
     assert got(spark, rows) == slow(rows)
+
+
+def test_edits_of_one_page(spark):
+    """A page edited at very different rates: the bounds keep pairs apart, and lose none."""
+    rng, page, rows = random.Random(9), text(random.Random(10), 150), []
+    for i in range(120):
+        mine = edited(rng, page, rng.choice([0.005, 0.01, 0.03, 0.05, 0.08]))
+        rows.append(" ".join(mine))
+        if i % 4 == 0:  # near copies of an edit, the page's words restored or changed elsewhere
+            rows.append(" ".join(edited(rng, mine, 0.01)))
+            rows.append(" ".join(a if rng.random() < 0.2 else b for a, b in zip(page, mine, strict=True)))
+    cases = list(enumerate(rows))
+    assert got(spark, cases) == slow(cases)

@@ -11,17 +11,20 @@ similarity J, and that grows with J.
 1. Equal sets become one row: a digest of the set is its key.
 2. ``BANDS`` times ``ROWS`` registers are a key each. Two sets at J = 0.85 share
    no key with a probability of about 1e-7.
-3. Each bucket has hubs that meet its other members, first one, then sixteen
-   times as many a round. A pair goes on if the sizes allow the similarity and
-   the likelihood of all registers, given both sizes, is greatest at
-   ``PLAUSIBLE`` or above (seven standard deviations below 0.85).
-4. Pairs that are left are confirmed on the full sets; confirmed links give
-   components. A hub leaves its bucket after its round, and so does a bucket
-   whose members are all of one component. So the members of a large group of
-   near copies meet one hub each, and yet every pair of a bucket whose texts
-   are not connected is looked at: the rounds end when no bucket is left. A
-   bucket of k texts that nothing connects takes k * k / 2 looks at sketches,
-   spread over tasks by the join; none of these pairs leaves it.
+3. Each bucket has a hub, its least key, that meets all other members. A pair
+   goes on if the sizes allow the similarity and the likelihood of all
+   registers, given both sizes, is greatest at ``PLAUSIBLE`` or above (seven
+   standard deviations below 0.85). What is left is measured on the full sets;
+   confirmed links give components. A large group of near copies is connected
+   by now, and a bucket whose members are all of one component is done.
+4. In other buckets members of different components meet. Where more than
+   ``FEW`` are left, three numbers of each keep those apart that can't be
+   similar: its size, the distance to the hub (as a symmetric difference), and
+   how many of its shingles no other such text has. For two texts at distances
+   D, of which U are such shingles, the distance is U + U' + |(D - U) - (D' - U')|
+   at least. A text with more of them than any partner bears leaves at once.
+   Pairs that are left go the way of step 3. So texts that edit one page in
+   different places cost a comparison of numbers, which stays in the join.
 
 Defined results: texts without words (null and empty too) have the empty set,
 are linked with nothing and name their component themselves; with one or two
@@ -49,7 +52,7 @@ LEAST = 85  # per cent
 BANDS, ROWS = 30, 6
 BASE, RATE, TOP = 1.2, 20.0, 255
 PLAUSIBLE = 0.65
-GROWTH = 16
+FEW = 16
 
 _random = np.random.default_rng(12)
 FLIP = _random.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
@@ -204,47 +207,97 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(of, "key binary, hashes array<long>").groupBy("key").agg(F.first("hashes").alias("hashes"))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """``a``, ``b`` of the pairs whose full sets are similar enough."""
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs with the number of shingles they have in common."""
     one, two = (sets.select(F.col("key").alias(c), F.col("hashes").alias(f"set_{c}")) for c in "ab")
-    common = F.size(F.array_intersect("set_a", "set_b")).cast("long")
     # Members first: the hub's set joins last and is not shuffled with each of them.
-    return pairs.join(two, "b").join(one, "a").withColumn("common", common).where(
-        100 * F.col("common") >= least * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
+    return pairs.join(two, "b").join(one, "a").select(
+        "a", "b", "n_a", "n_b", F.size(F.array_intersect("set_a", "set_b")).cast("long").alias("common"))
 
 
-def links(docs: DataFrame, distinct: DataFrame, least: int = LEAST, plausible: float = PLAUSIBLE) -> DataFrame | None:
+class _Sets:
+    """Full sets, fetched once each."""
+
+    def __init__(self, docs: DataFrame, distinct: DataFrame):
+        self.docs, self.places, self.rows = docs, distinct.select("key", "at"), None
+
+    def of(self, keys: DataFrame) -> DataFrame:
+        """A table that has the sets of ``keys`` among others."""
+        wanted = keys.distinct()
+        if self.rows is not None:
+            wanted = wanted.join(self.rows.select("key"), "key", "left_anti")
+        fresh = written(_full_sets(self.docs, self.places.join(wanted, "key")), "sets")
+        self.rows = fresh if self.rows is None else self.rows.union(fresh)
+        return self.rows
+
+
+def _similar(least: int) -> Column:
+    common = F.col("common")
+    return 100 * common >= least * (F.col("n_a") + F.col("n_b") - common)
+
+
+def _looked_at(pairs: DataFrame, distinct: DataFrame, sets: _Sets, plausible: float) -> DataFrame:
+    pairs = written(_plausible(written(pairs, "pairs"), distinct, plausible), "plausible")
+    ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key")))
+    return written(_measured(pairs, sets.of(ends)), "measured")
+
+
+def _alone(left: DataFrame, hubs: DataFrame, sets: _Sets, few: int) -> DataFrame:
+    """key, alone: shingles that no other member of the larger buckets and none of their hubs has."""
+    large = left.groupBy("bucket").count().where(F.col("count") > few).select("bucket")
+    keys = written(left.join(large, "bucket").select("key").union(
+        hubs.join(large, "bucket").select("hub_key")).distinct(), "large")
+    each = sets.of(keys).join(keys, "key").select("key", F.explode("hashes").alias("hash"))
+    once = each.groupBy("hash").agg(F.count("*").alias("holders"), F.first("key").alias("key")).where("holders = 1")
+    counted = once.groupBy("key").agg(F.count("*").alias("alone"))
+    return keys.join(counted, "key", "left").select("key", F.coalesce("alone", F.lit(0)).cast("long").alias("alone"))
+
+
+def links(
+    docs: DataFrame, distinct: DataFrame, least: int = LEAST, plausible: float = PLAUSIBLE, few: int = FEW
+) -> DataFrame:
     """Confirmed links ``a``, ``b`` that connect all similar sets of ``distinct`` (key, n_shingles, sketch, at)."""
-    alive = written(buckets(distinct).withColumn("component", F.col("key")), "buckets")
-    found, sets, hubs_a_round = None, None, 1
-    while not alive.isEmpty():
-        turn = F.row_number().over(Window.partitionBy("bucket").orderBy("key"))
-        hubs = alive.withColumn("turn", turn).where(F.col("turn") <= hubs_a_round)
-        hubs = written(hubs.select("bucket", *[F.col(c).alias(f"hub_{c}") for c in ("key", "n_shingles", "component")]), "hubs")
-        met = alive.join(hubs, "bucket").where(
-            (F.col("component") != F.col("hub_component"))
-            & _sizes_allow(F.col("n_shingles"), F.col("hub_n_shingles"), least))
-        pairs = written(met.select(
-            F.col("hub_key").alias("a"), F.col("key").alias("b"), F.col("hub_n_shingles").alias("n_a"),
-            F.col("n_shingles").alias("n_b")).distinct(), "pairs")
-        pairs = written(_plausible(pairs, distinct, plausible), "plausible")
-        wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-        if sets is not None:
-            wanted = wanted.join(sets, "key", "left_anti")
-        fresh = written(_full_sets(docs, distinct.select("key", "at").join(wanted, "key")), "sets")
-        sets = fresh if sets is None else sets.union(fresh)
-        fresh_links = written(_confirmed(pairs, sets, least), "links")
-        found = fresh_links if found is None else found.union(fresh_links)
-        left = alive.drop("component").join(
-            hubs.select("bucket", F.col("hub_key").alias("key")), ["bucket", "key"], "left_anti")
-        label = components(found).select(F.col("node").alias("key"), F.col("component").alias("to"))
-        left = written(left.join(label, "key", "left").select(
-            "bucket", "key", "n_shingles", F.coalesce("to", "key").alias("component")), "left")
-        several = left.groupBy("bucket").agg(
-            F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
-        alive = written(left.join(several, "bucket"), "buckets")
-        hubs_a_round *= GROWTH
-    return found
+    alive = written(buckets(distinct), "buckets")
+    sets = _Sets(docs, distinct)
+    # Few rows in a bucket's turn: Spark keeps the first of each task before the shuffle.
+    first = F.row_number().over(Window.partitionBy("bucket").orderBy("key"))
+    hubs = written(alive.withColumn("turn", first).where("turn = 1").select(
+        "bucket", F.col("key").alias("hub_key"), F.col("n_shingles").alias("hub_n")), "hubs")
+    met = written(alive.join(hubs, "bucket").where("key != hub_key"), "met")
+    stars = met.where(_sizes_allow(F.col("n_shingles"), F.col("hub_n"), least)).select(
+        F.col("hub_key").alias("a"), F.col("key").alias("b"), F.col("hub_n").alias("n_a"),
+        F.col("n_shingles").alias("n_b")).distinct()
+    measured = _looked_at(stars, distinct, sets, plausible)
+    found = measured.where(_similar(least)).select("a", "b")
+    label = written(components(found).select(F.col("node").alias("key"), F.col("component").alias("to")), "labels")
+
+    # The hub has met everyone. What is left of a bucket matters if it has several components.
+    named = met.join(label, "key", "left").withColumn("component", F.coalesce("to", "key")).drop("to")
+    several = named.groupBy("bucket").agg(
+        F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
+    away = measured.select(F.col("a").alias("hub_key"), F.col("b").alias("key"),
+                           (F.col("n_a") + F.col("n_b") - 2 * F.col("common")).alias("away"))
+    left = written(named.join(several, "bucket").join(away, ["hub_key", "key"], "left"), "left")
+    if left.isEmpty():
+        return found
+    alone = written(_alone(left, hubs, sets, few), "alone")
+    # Distance and sizes: similar if (100 + least) * distance <= (100 - least) * both sizes.
+    widest = (100 - least) * (F.col("n_shingles") + F.floor(100 * F.col("n_shingles") / least))
+    rest = left.join(alone, "key", "left").select(
+        "bucket", "key", "n_shingles", "component", "away", F.coalesce("alone", F.lit(0)).alias("alone")).where(
+        (100 + least) * F.col("alone") <= widest)
+    rest = written(rest, "rest")
+    one, two = rest.alias("x"), rest.alias("y")
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    apart = x("alone") + y("alone") + F.coalesce(
+        F.abs((x("away") - x("alone")) - (y("away") - y("alone"))), F.lit(0))
+    pairs = one.join(two, F.col("x.bucket") == F.col("y.bucket")).where(
+        (x("key") < y("key")) & (x("component") != y("component"))
+        & _sizes_allow(x("n_shingles"), y("n_shingles"), least)
+        & ((100 + least) * apart <= (100 - least) * (x("n_shingles") + y("n_shingles"))))
+    pairs = pairs.select(x("key").alias("a"), y("key").alias("b"), x("n_shingles").alias("n_a"),
+                         y("n_shingles").alias("n_b")).distinct()
+    return found.union(_looked_at(pairs, distinct, sets, plausible).where(_similar(least)).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -254,12 +307,9 @@ def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
     distinct = written(full.groupBy("key").agg(
         F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_hash")).alias("at"),
         F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "distinct")
-    made = links(docs, distinct, least)
-    named = distinct.select("key", "first_id", F.col("key").alias("component"))
-    if made is not None:
-        label = components(made).select(F.col("node").alias("key"), F.col("component").alias("to"))
-        named = distinct.select("key", "first_id").join(label, "key", "left").select(
-            "key", "first_id", F.coalesce("to", "key").alias("component"))
+    label = components(links(docs, distinct, least)).select(F.col("node").alias("key"), F.col("component").alias("to"))
+    named = distinct.select("key", "first_id").join(label, "key", "left").select(
+        "key", "first_id", F.coalesce("to", "key").alias("component"))
     named = written(named, "named")
     least_id = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     classes = written(named.join(least_id, "component").select("key", "component_id"), "classes")
