@@ -11,7 +11,8 @@ similarity J, and that grows with J.
 1. Equal sets become one row: a digest of the set is its key.
 2. ``BANDS`` times ``ROWS`` registers are a key each. Two sets at J = 0.85 share
    no key with a probability of about 1e-7.
-3. Each bucket has a hub, its least key, that meets all other members. A pair
+3. Each bucket has a hub that meets all other members: the one whose buckets
+   hold the most, so of edits of one page the page, or who is next to it. A pair
    goes on if the sizes allow the similarity and the likelihood of all
    registers, given both sizes, is greatest at ``PLAUSIBLE`` or above (seven
    standard deviations below 0.85). What is left is measured on the full sets;
@@ -161,11 +162,11 @@ def merged(sketches: DataFrame, by: str) -> DataFrame:
 
 
 def buckets(distinct: DataFrame) -> DataFrame:
-    """bucket, key, n_shingles for every key of a band that two sets or more share."""
+    """bucket, key, n_shingles and count for every key of a band that ``count`` sets share, two or more."""
     bands = F.array(*[F.expr(f"substring(sketch, {i * ROWS + 1}, {ROWS})") for i in range(BANDS)])
     each = distinct.select("key", "n_shingles", F.posexplode(bands).alias("band", "value")).select(
         F.xxhash64("band", "value").alias("bucket"), "key", "n_shingles")
-    shared = each.groupBy("bucket").count().where("count > 1").select("bucket")
+    shared = each.groupBy("bucket").count().where("count > 1")
     return each.join(shared, "bucket")
 
 
@@ -260,8 +261,10 @@ def links(
     alive = written(buckets(distinct), "buckets")
     sets = _Sets(docs, distinct)
     # Few rows in a bucket's turn: Spark keeps the first of each task before the shuffle.
-    first = F.row_number().over(Window.partitionBy("bucket").orderBy("key"))
-    hubs = written(alive.withColumn("turn", first).where("turn = 1").select(
+    first = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("met"), "key"))
+    degree = alive.groupBy("key").agg(F.sum("count").alias("met"))
+    alive = alive.drop("count")
+    hubs = written(alive.join(degree, "key").withColumn("turn", first).where("turn = 1").select(
         "bucket", F.col("key").alias("hub_key"), F.col("n_shingles").alias("hub_n")), "hubs")
     met = written(alive.join(hubs, "bucket").where("key != hub_key"), "met")
     stars = met.where(_sizes_allow(F.col("n_shingles"), F.col("hub_n"), least)).select(
