@@ -19,11 +19,12 @@ similarity J, and that grows with J.
    confirmed links give components. A large group of near copies is connected
    by now, and a bucket whose members are all of one component is done.
 4. In other buckets members of different components meet. Where more than
-   ``FEW`` are left, three numbers of each keep those apart that can't be
-   similar: its size, the distance to the hub (as a symmetric difference), and
-   how many of its shingles no other such text has. For two texts at distances
-   D, of which U are such shingles, the distance is U + U' + |(D - U) - (D' - U')|
-   at least. A text with more of them than any partner bears leaves at once.
+   ``FEW`` are left, counts keep those apart that can't be similar: the sizes;
+   the shingles of each that no other such text has; its other shingles that
+   the hub lacks; and the hub's shingles that it lacks, counted in ``PARTS``
+   parts by hash. The first, and the differences of the others, add up to no
+   more than the distance of two texts. A text with more shingles of its own
+   than any partner bears leaves at once.
    Pairs that are left go the way of step 3. So texts that edit one page in
    different places cost a comparison of numbers, which stays in the join.
 
@@ -54,6 +55,7 @@ BANDS, ROWS = 30, 6
 BASE, RATE, TOP = 1.2, 20.0, 255
 PLAUSIBLE = 0.65
 FEW = 16
+PARTS = 32
 
 _random = np.random.default_rng(12)
 FLIP = _random.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
@@ -208,12 +210,17 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(of, "key binary, hashes array<long>").groupBy("key").agg(F.first("hashes").alias("hashes"))
 
 
-def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs with the number of shingles they have in common."""
+def _measured(pairs: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """The pairs with the number of shingles they have in common, and of those only ``a`` has, by part."""
     one, two = (sets.select(F.col("key").alias(c), F.col("hashes").alias(f"set_{c}")) for c in "ab")
     # Members first: the hub's set joins last and is not shuffled with each of them.
-    return pairs.join(two, "b").join(one, "a").select(
-        "a", "b", "n_a", "n_b", F.size(F.array_intersect("set_a", "set_b")).cast("long").alias("common"))
+    both = pairs.join(two, "b").join(one, "a")
+    common = F.size(F.array_intersect("set_a", "set_b")).cast("long")
+    if not parts:
+        return both.select("a", "b", "n_a", "n_b", common.alias("common"))
+    part = F.expr(f"transform(array_except(set_a, set_b), h -> cast(h & {parts - 1} AS int))")
+    lost = F.expr(f"transform(sequence(0, {parts - 1}), p -> size(filter(part, q -> q = p)))")
+    return both.withColumn("part", part).select("a", "b", "n_a", "n_b", common.alias("common"), lost.alias("lost"))
 
 
 class _Sets:
@@ -237,10 +244,10 @@ def _similar(least: int) -> Column:
     return 100 * common >= least * (F.col("n_a") + F.col("n_b") - common)
 
 
-def _looked_at(pairs: DataFrame, distinct: DataFrame, sets: _Sets, plausible: float) -> DataFrame:
+def _looked_at(pairs: DataFrame, distinct: DataFrame, sets: _Sets, plausible: float, parts: int = 0) -> DataFrame:
     pairs = written(_plausible(written(pairs, "pairs"), distinct, plausible), "plausible")
     ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key")))
-    return written(_measured(pairs, sets.of(ends)), "measured")
+    return written(_measured(pairs, sets.of(ends), parts), "measured")
 
 
 def _alone(left: DataFrame, hubs: DataFrame, sets: _Sets, few: int) -> DataFrame:
@@ -270,7 +277,7 @@ def links(
     stars = met.where(_sizes_allow(F.col("n_shingles"), F.col("hub_n"), least)).select(
         F.col("hub_key").alias("a"), F.col("key").alias("b"), F.col("hub_n").alias("n_a"),
         F.col("n_shingles").alias("n_b")).distinct()
-    measured = _looked_at(stars, distinct, sets, plausible)
+    measured = _looked_at(stars, distinct, sets, plausible, PARTS)
     found = measured.where(_similar(least)).select("a", "b")
     label = written(components(found).select(F.col("node").alias("key"), F.col("component").alias("to")), "labels")
 
@@ -279,7 +286,7 @@ def links(
     several = named.groupBy("bucket").agg(
         F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
     away = measured.select(F.col("a").alias("hub_key"), F.col("b").alias("key"),
-                           (F.col("n_a") + F.col("n_b") - 2 * F.col("common")).alias("away"))
+                           (F.col("n_b") - F.col("common")).alias("own"), "lost")
     left = written(named.join(several, "bucket").join(away, ["hub_key", "key"], "left"), "left")
     if left.isEmpty():
         return found
@@ -287,17 +294,20 @@ def links(
     # Distance and sizes: similar if (100 + least) * distance <= (100 - least) * both sizes.
     widest = (100 - least) * (F.col("n_shingles") + F.floor(100 * F.col("n_shingles") / least))
     rest = left.join(alone, "key", "left").select(
-        "bucket", "key", "n_shingles", "component", "away", F.coalesce("alone", F.lit(0)).alias("alone")).where(
+        "bucket", "key", "n_shingles", "component", "own", "lost", F.coalesce("alone", F.lit(0)).alias("alone")).where(
         (100 + least) * F.col("alone") <= widest)
     rest = written(rest, "rest")
     one, two = rest.alias("x"), rest.alias("y")
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     apart = x("alone") + y("alone") + F.coalesce(
-        F.abs((x("away") - x("alone")) - (y("away") - y("alone"))), F.lit(0))
+        F.abs((x("own") - x("alone")) - (y("own") - y("alone"))), F.lit(0))
+    lost = F.coalesce(F.aggregate(
+        F.zip_with(x("lost"), y("lost"), lambda p, q: F.abs(p - q)), F.lit(0), lambda total, d: total + d), F.lit(0))
+    bears = (100 - least) * (x("n_shingles") + y("n_shingles"))
     pairs = one.join(two, F.col("x.bucket") == F.col("y.bucket")).where(
         (x("key") < y("key")) & (x("component") != y("component"))
         & _sizes_allow(x("n_shingles"), y("n_shingles"), least)
-        & ((100 + least) * apart <= (100 - least) * (x("n_shingles") + y("n_shingles"))))
+        & ((100 + least) * apart <= bears) & ((100 + least) * (apart + lost) <= bears))
     pairs = pairs.select(x("key").alias("a"), y("key").alias("b"), x("n_shingles").alias("n_a"),
                          y("n_shingles").alias("n_b")).distinct()
     return found.union(_looked_at(pairs, distinct, sets, plausible).where(_similar(least)).select("a", "b"))
