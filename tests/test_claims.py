@@ -7,7 +7,8 @@ import random
 import pandas as pd
 import pytest
 
-from tillwise.plans.claims import TAKEN, refuse_in_turn, settle, settle_singles
+from tillwise.plans import claims
+from tillwise.plans.claims import TAKEN, refuse_in_turn, replay, settle, settle_singles
 
 
 def serial(units: list[tuple[int, int, dict[int, int]]], stock: dict[int, int]) -> dict[int, bool]:
@@ -67,3 +68,36 @@ def test_state_goes_over_batches():
                          "Change": [-3, -3, -2, -1]})
     out = list(refuse_in_turn([rows[:2], rows[2:]], "u", "k"))
     assert pd.concat(out)["u"].tolist() == [2, 4]
+
+
+def test_replay_goes_over_batches():
+    rows = pd.DataFrame({
+        "_group": [1, 1, 1, 1, 2], "u": [1, 1, 2, 3, 4], "k": [1, 2, 1, 2, 1], "Base": [3, 3, 3, 3, 1],
+        "Change": [-2, -2, -2, -1, -1], "Sure": [True, True, False, False, False]})
+    for cut in range(6):
+        out = pd.concat(list(replay([rows[:cut], rows[cut:]], "u", "k")))
+        assert out["u"].tolist() == [2]
+
+
+def test_long_chain_takes_few_rounds(spark, monkeypatch):
+    """Each order competes with the one before: in rounds alone 10,000 orders would take thousands."""
+    calls = []
+    real = claims.per_key
+    monkeypatch.setattr(claims, "per_key", lambda *a, **k: calls.append(1) or real(*a, **k))
+    n = 10_000
+    lines = spark.range(n).selectExpr(
+        "id AS unit", "id AS at", "explode(array(id, id + 1)) AS k", "-1 AS Change")
+    levels = spark.range(n + 1).selectExpr("id AS k", "1 AS Stock")
+    made = settle(lines, levels, unit="unit", key="k", order=["at"])
+    assert {r.unit for r in made.where("Outcome = 'taken'").collect()} == set(range(0, n, 2))
+    assert len(calls) == claims.ROUNDS
+
+
+def test_large_groups_go_on_in_rounds(spark):
+    rng = random.Random(11)
+    stock = {k: rng.randrange(0, 3) for k in range(40)}
+    units = [(u, u, {k: -1 for k in {u % 40, (u + 1) % 40, rng.randrange(40)}}) for u in range(60)]
+    lines, levels = frames(spark, units, stock)
+    for group_rows in (5, 10_000):
+        made = settle(lines, levels, unit="unit", key="k", order=["at"], group_rows=group_rows)
+        assert {r.unit: r.Outcome == TAKEN for r in made.collect()} == serial(units, stock)

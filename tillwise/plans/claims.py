@@ -10,21 +10,31 @@ draws before it been taken, and the highest, had only the undecided additions
 been. A unit that fits the lowest is in, one that does not fit the highest is
 out. The first undecided unit meets equal bounds, so each round decides some,
 and the outcome is that of the loop.
+
+A chain of units that hang on each other would take as many rounds as it is
+long. So after ``ROUNDS`` of them the undecided units are grouped with those
+they share a key with, directly or through others. Groups don't affect each
+other: each of up to ``GROUP_ROWS`` lines is tried unit by unit in one task, and
+only the lines of larger groups go on in rounds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillwise.plans.components import components
 from tillwise.plans.skew import HOT_ROWS, hot_keys, per_key
 from tillwise.session import cut_lineage
 
 TAKEN, REFUSED = "taken", "refused"
+ROUNDS = 4
+GROUP_ROWS = 200_000
 
 
 def _contended(
@@ -46,8 +56,49 @@ def _contended(
     return per_unit.join(short, key)
 
 
+def _groups(undecided: DataFrame, unit: str, key: str) -> DataFrame:
+    """``key`` and ``_group`` for every key with undecided units: keys of one unit are in one group."""
+    named = undecided.select(unit, F.col(key).alias("b"))
+    edges = named.join(named.groupBy(unit).agg(F.min("b").alias("a")), unit)
+    found = components(edges).withColumnRenamed("node", key)
+    return undecided.select(key).distinct().join(found, key, "left").select(
+        key, F.coalesce("component", key).alias("_group"))
+
+
+def replay(batches: Iterable[pd.DataFrame], unit: str, key: str) -> Iterator[pd.DataFrame]:
+    """Units refused when each group's units are tried one after another.
+
+    Rows come sorted by group, turn and unit. ``Base`` is the stock a line would
+    meet without the units here; ``Sure`` ones are taken already.
+    """
+    now, lines, moved = None, [], {}
+
+    def refused() -> bool:
+        if any(not sure and change < 0 and base + moved.get(k, 0) + change < 0 for k, change, base, sure in lines):
+            return True
+        for k, change, *_ in lines:
+            moved[k] = moved.get(k, 0) + change
+        return False
+
+    for rows in batches:
+        gone = []
+        for group, value, k, change, base, sure in zip(
+                *[rows[c] for c in ("_group", unit, key, "Change", "Base", "Sure")], strict=True):
+            if now != (group, value):
+                if now is not None and refused():
+                    gone.append(now[1])
+                if now is not None and now[0] != group:
+                    moved = {}
+                now, lines = (group, value), []
+            lines.append((k, change, base, sure))
+        yield pd.DataFrame({unit: gone})
+    if now is not None and refused():
+        yield pd.DataFrame({unit: [now[1]]})
+
+
 def _refused_in_rounds(
-    contended: DataFrame, unit: str, key: str, order: Sequence[str], hot_rows: int | None
+    contended: DataFrame, unit: str, key: str, order: Sequence[str], hot_rows: int | None,
+    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Units refused. Every round keeps the undecided lines and what was just taken.
 
@@ -57,12 +108,13 @@ def _refused_in_rounds(
     at = [F.col(c) for c in (*order, unit)]
     columns = [unit, *order, key, "Change", "Base", "Sure"]
     open_lines = cut_lineage(contended.withColumn("Sure", F.lit(False)).select(*columns))
+    unit_type = contended.schema[unit].dataType.simpleString()
     # Lines only leave, so a key that fits a task now fits it in every round.
     if hot_keys(open_lines, [key], hot_rows=hot_rows) is None:
         hot_rows = None
     refused: list[DataFrame] = []
     sure, change = F.col("Sure"), F.col("Change")
-    while True:
+    for turn in count(1):
         moved = open_lines.withColumns({
             "_taken": F.when(sure, change).otherwise(0),
             "_draw": F.when(sure, 0).otherwise(F.least(change, F.lit(0))),
@@ -82,15 +134,30 @@ def _refused_in_rounds(
         judged = cut_lineage(
             bounded.select(unit, *order, key, "Change", "Base").join(verdicts, unit))
         refused.append(judged.where("_fails").select(unit).distinct())
-        if judged.where("NOT _fits AND NOT _fails").isEmpty():
+        undecided = judged.where("NOT _fits AND NOT _fails")
+        if undecided.isEmpty():
             return reduce(DataFrame.unionByName, refused)
         open_lines = judged.where("NOT _fails").withColumn("Sure", F.col("_fits")).select(
             *columns)
+        if turn % ROUNDS:
+            continue
+        # Lines taken for sure matter to the group of their key; other keys have no undecided units.
+        grouped = cut_lineage(open_lines.join(_groups(undecided, unit, key), key))
+        large = cut_lineage(grouped.groupBy("_group").count().where(F.col("count") > group_rows).select("_group"))
+        tried = (
+            grouped.join(large, "_group", "left_anti").repartition("_group")
+            .sortWithinPartitions("_group", *order, unit)
+            .mapInPandas(lambda batches: replay(batches, unit, key), f"`{unit}` {unit_type}")
+        )
+        refused.append(cut_lineage(tried))
+        if large.isEmpty():
+            return reduce(DataFrame.unionByName, refused)
+        open_lines = cut_lineage(grouped.join(large, "_group").select(*columns))
 
 
 def settle(
     lines: DataFrame, stock: DataFrame, *, unit: str, key: str, order: Sequence[str],
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int = HOT_ROWS, group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Every unit with its Outcome, taken or refused.
 
@@ -99,7 +166,7 @@ def settle(
     per key. A key without stock row has none to draw on.
     """
     refused = _refused_in_rounds(
-        _contended(lines, stock, unit, key, order), unit, key, order, hot_rows)
+        _contended(lines, stock, unit, key, order), unit, key, order, hot_rows, group_rows)
     return _outcomes(lines, refused, unit)
 
 
