@@ -33,8 +33,7 @@ def test_sales_metrics(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_stock_ledger_over_batches(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(jobs, "SNAPSHOT_EVERY", 2)
+def test_stock_ledger_over_batches(spark, tmp_path):
     products = spark.createDataFrame(
         [(p, Decimal(1), 100, 30, AS_OF) for p in range(5)],
         "ProductID int, Price decimal(12,4), StockQuantity int, ReorderLevel int,"
@@ -54,6 +53,32 @@ def test_stock_ledger_over_batches(spark, tmp_path, monkeypatch):
     assert sorted(alerts) == low
 
 
+def test_stock_state_outlives_the_query(spark, tmp_path):
+    """Stopped and started again over more files, with products that nobody knows."""
+    products = spark.createDataFrame(
+        [(p, 100, 30) for p in range(3)], "ProductID int, StockQuantity int, ReorderLevel int")
+    target, folder, total = str(tmp_path / "out"), str(tmp_path / "in"), {}
+    for part in range(3):
+        rows = [((i * 7 + part) % 5 if i % 4 else None, -(i % 3) - part) for i in range(40)]
+        for p, q in rows:
+            total[p] = total.get(p, 0) + q
+        moves = spark.createDataFrame(rows, "ProductID int, Quantity int")
+        moves.repartition(2).write.mode("append").parquet(folder)
+        stream = jobs.file_stream(spark, folder, moves.schema, files_per_batch=1)
+        jobs.stream_stock_ledger(stream, products, target, as_of=AS_OF).awaitTermination()
+    levels = {r.ProductID: r.StockQuantity for r in jobs.stock_levels(spark, products, target).collect()}
+    assert levels == {p: 100 + total[p] for p in range(3)}
+    rejected = jobs.stock_rejects(spark, target).groupBy("ProductID").agg(
+        F.sum("Quantity").alias("q"), F.max("RejectedBefore").alias("first")).collect()
+    assert {r.ProductID: r.q for r in rejected} == {p: total[p] for p in (3, 4, None)}
+    assert {r.first for r in rejected} == {0}
+    ledger = jobs.stock_ledger(spark, target).orderBy(F.desc("PreviousStock"), F.desc("NewStock")).collect()
+    for p in range(3):
+        own = [r for r in ledger if r.ProductID == p]
+        assert own[0].PreviousStock == 100 and own[-1].NewStock == levels[p]
+        assert all(a.NewStock == b.PreviousStock for a, b in zip(own, own[1:]))
+
+
 def test_order_audit_over_batches(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(jobs, "SNAPSHOT_EVERY", 2)
     columns = "OrderID int, CustomerID int, TotalAmount decimal(12,4), OrderStatus string"

@@ -16,6 +16,7 @@ from tillwise.functions.delivery import with_delivery_estimate
 from tillwise.functions.pricing import customer_tiers, with_product_discount, with_shipping_cost
 from tillwise.operators import (
     audit,
+    categories,
     inventory,
     orders,
     prep,
@@ -27,8 +28,9 @@ from tillwise.operators import (
     summaries,
     views,
 )
-from tillwise.session import scratch_path, tune
+from tillwise.session import cut_lineage, scratch_path, tune
 from tillwise.sources import feeds
+from tillwise.sources.merge import save_partitioned
 from tillwise.sources.star import (
     AS_OF,
     HISTORY_START,
@@ -146,6 +148,33 @@ def _order_range_pruned(store: Store) -> DataFrame:
     return written.where(F.col("OrderRange") == 3).select("OrderID", "OrderDate", "TotalAmount")
 
 
+def _month() -> Column:
+    return F.date_format("OrderDate", "yyyy-MM")
+
+
+def _monthly_orders(store: Store) -> str:
+    """The orders as a table by month."""
+    path = scratch_path(store.spark, "orders")
+    save_partitioned(store.scan("sales_order"), path, "OrderMonth", _month())
+    return path
+
+
+def _returns_merged(store: Store) -> DataFrame:
+    """Returns close orders in the stored table."""
+    path = _monthly_orders(store)
+    checked = cut_lineage(returns.validate_returns(store, feeds.return_requests(store)))
+    returns.merge_closed_orders(store.spark, path, checked, as_of=AS_OF, partition="OrderMonth", place=_month())
+    return store.spark.read.parquet(path).select("OrderID", "OrderStatus", "ModifiedDate")
+
+
+def _updates_merged(store: Store) -> DataFrame:
+    path = _monthly_orders(store)
+    prep.merge_order_updates(
+        store.spark, path, feeds.order_updates(store), partition="OrderMonth", place=_month())
+    return store.spark.read.parquet(path).select(
+        "OrderID", "OrderStatus", "PaymentStatus", "TrackingNumber", "ActualDeliveryDate")
+
+
 def _defaults(store: Store, fill_unknown: bool = False) -> DataFrame:
     bare = store.scan("sales_order", "OrderID", "CustomerID", "PaymentStatus").withColumn(
         "PaymentStatus",
@@ -315,6 +344,10 @@ OPERATORS: dict[str, Callable[[Store], DataFrame]] = {
     "sales_report_summary_corrected":
         lambda s: reports.sales_report_summary(s, corrected=True, **ALL),
     "sales_report_category": lambda s: reports.sales_report_category(s, **ALL),
+    "category_tree": lambda s: categories.category_tree(
+        feeds.nested_categories(s).scan("category", "CategoryID", "ParentCategoryID")),
+    "sales_report_subtree":
+        lambda s: categories.sales_report_subtree(feeds.nested_categories(s), **ALL),
     "sales_report_product": lambda s: reports.sales_report_product(s, **ALL),
     "sales_report_monthly": lambda s: reports.sales_report_monthly(s, **ALL),
     "low_stock_products": lambda s: reports.low_stock_products(s, as_of=AS_OF),
@@ -413,6 +446,8 @@ OPERATORS: dict[str, Callable[[Store], DataFrame]] = {
     "process_returns_products":
         _returned("products", "ProductID", "StockQuantity", "ModifiedDate"),
     "process_returns_orders": _returned("orders", "OrderID", "OrderStatus", "ModifiedDate"),
+    "process_returns_merged": _returns_merged,
+    "apply_order_updates_merged": _updates_merged,
     "process_returns_corrected":
         _returned("returns", "ReturnID", "ReturnQuantity", "RefundAmount", corrected=True),
     "process_returns_corrected_orders":
@@ -459,6 +494,16 @@ def _streamed_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min("NewStock").alias("LastStock"))
 
 
+def _streamed_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Movements of products that the table lacks: every twentieth is left out of it."""
+    store, target = star_store(spark, sf_dir), scratch_path(spark, "stock")
+    goods = store.scan("product").where("ProductID % 20 != 0")
+    jobs.stream_stock_ledger(
+        _sales_stream(spark, sf_dir), goods, target, as_of=AS_OF).awaitTermination()
+    return jobs.stock_rejects(spark, target).groupBy("ProductID", "ErrorMessage").agg(
+        F.sum("Quantity").alias("Quantity"), F.max("RejectedBefore").alias("FirstBefore"))
+
+
 def _streamed_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, target = star_store(spark, sf_dir), scratch_path(spark, "stock")
     goods = feeds.roomy(store).scan("product")
@@ -481,6 +526,7 @@ STREAMS: dict[str, Query] = {
     "stream_stock_ledger": _streamed_stock,
     "stream_stock_movements": _streamed_ledger,
     "stream_stock_alerts": _streamed_alerts,
+    "stream_stock_rejects": _streamed_rejects,
     "stream_order_audit": _streamed_audit,
 }
 

@@ -18,6 +18,21 @@ cat AS (
   SELECT 1000, 'Clearance', 'Nothing on sale yet', 5
 )"""
 
+# The categories nested as in feeds.nested_categories, and every way up from each.
+NESTED = """
+    , nested AS (
+      SELECT CategoryID, CategoryName, CASE
+             WHEN CategoryID IN (59, 60) THEN 119 - CategoryID WHEN CategoryID = 1000 THEN 60
+             WHEN CategoryID > 25 THEN CategoryID - 10 WHEN CategoryID > 5 THEN CategoryID - 15 END AS up
+      FROM cat),
+    walk AS (
+      SELECT CategoryID, CategoryID AS top, [CategoryID] AS path, false AS own, false AS repeated FROM nested
+      UNION ALL
+      SELECT w.CategoryID, p.CategoryID, list_append(w.path, p.CategoryID), p.CategoryID = w.CategoryID,
+             list_contains(w.path, p.CategoryID)
+      FROM walk w JOIN nested n ON n.CategoryID = w.top JOIN nested p ON p.CategoryID = n.up WHERE NOT w.repeated)
+"""
+
 PRODUCT = """
 prod AS (
   SELECT p_partkey AS ProductID, p_name AS ProductName,
@@ -210,6 +225,18 @@ def _reports() -> dict[str, str]:
            count(DISTINCT p.ProductID) AS ProductsInCategory,
            min(o.OrderDate) AS FirstSaleDate, max(o.OrderDate) AS LastSaleDate
     {sold} GROUP BY ALL""",
+        "category_tree": base("cat").replace("WITH", "WITH RECURSIVE", 1) + NESTED + """
+    SELECT CategoryID, CAST(CASE WHEN Place = 'tree' THEN Depth END AS INT) AS Depth,
+           CASE WHEN Place = 'tree' THEN RootID END AS RootID, Place
+    FROM (SELECT n.CategoryID, max(len(path)) - 1 AS Depth, arg_max(top, len(path)) AS RootID,
+                 CASE WHEN bool_or(own) THEN 'cycle' WHEN bool_or(repeated) THEN 'below cycle' ELSE 'tree' END AS Place
+          FROM nested n JOIN walk USING (CategoryID) GROUP BY n.CategoryID)""",
+        "sales_report_subtree": base("cat", "prod", "sale", "line").replace("WITH", "WITH RECURSIVE", 1) + NESTED + f"""
+    , own AS (SELECT c.CategoryID, sum(l.Quantity) AS q, sum(l.LineTotal) AS r {sold} GROUP BY 1)
+    SELECT a.CategoryID, any_value(a.CategoryName) AS CategoryName, count(*) AS Categories,
+           CAST(coalesce(sum(q), 0) AS BIGINT) AS QuantitySold, CAST(coalesce(sum(r), 0) AS DOUBLE) AS TotalRevenue
+    FROM nested a JOIN (SELECT DISTINCT CategoryID, top FROM walk) w ON w.top = a.CategoryID
+    LEFT JOIN own ON own.CategoryID = w.CategoryID GROUP BY 1""",
         "sales_report_product": base("cat", "prod", "sale", "line") + f"""
     SELECT p.ProductID, p.ProductName, p.ProductSKU, c.CategoryName,
            CAST(p.Price AS DOUBLE) AS CurrentPrice,

@@ -275,7 +275,7 @@ def statements() -> dict[str, str]:
     added = _recursive(base("sale", "ret")) + ADDED_UP
     replay = _recursive(base("prod", "sale", "line")) + REPLAY
     turns = _recursive(base("prod", "cust", "addr", "line")) + REQUESTS + TURNS
-    return {
+    made = {
         "process_orders": turns + """
     , s AS (
       SELECT OrderID AS k, CAST(sum(Quantity * UnitPrice) AS DECIMAL(12,4)) AS v
@@ -441,3 +441,6 @@ def statements() -> dict[str, str]:
              AS ModifiedDate
     FROM sale""",
     }
+    # The stored table is to be as the whole one rewritten.
+    made["process_returns_merged"] = made["process_returns_orders"]
+    return made

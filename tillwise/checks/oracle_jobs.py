@@ -265,7 +265,7 @@ def statements() -> dict[str, str]:
     ]
     listed = " UNION ALL ".join(
         f"SELECT '{a}', '{b}', '{c}', ({q}), 'No'" for a, b, c, q in checks)
-    return {
+    made = {
         "table_counts": base(*PARTS_FOR_COUNTS) + ORDERS_AFTER + " SELECT * FROM ("
         + " UNION ALL ".join(
             f"SELECT '{label}' AS DataType, count(*) AS RecordCount FROM {part}"
@@ -468,6 +468,10 @@ def statements() -> dict[str, str]:
            -CAST(sum(l.Quantity) AS BIGINT) AS Quantity,
            CAST(p.StockQuantity * 10 - sum(l.Quantity) AS BIGINT) AS LastStock
     FROM prod p JOIN line l ON l.ProductID = p.ProductID GROUP BY p.ProductID, p.StockQuantity""",
+        "stream_stock_rejects": base("line") + """
+    SELECT ProductID, 'Product not found or inactive.' AS ErrorMessage,
+           -CAST(sum(Quantity) AS BIGINT) AS Quantity, CAST(0 AS BIGINT) AS FirstBefore
+    FROM line WHERE ProductID % 20 = 0 GROUP BY ProductID""",
         "stream_order_audit": base("sale") + ORDERS_AFTER + f"""
     , returned AS (
       SELECT CAST(OrderID AS VARCHAR) AS k, 'OrderStatus=' || OrderStatus || ', TotalAmount='
@@ -478,6 +482,9 @@ def statements() -> dict[str, str]:
       UNION ALL SELECT 'UPDATE', k, own, other FROM returned
       UNION ALL SELECT 'UPDATE', k, other, own FROM returned)""",
     }
+    # The stored table is to be as the whole one rewritten.
+    made["apply_order_updates_merged"] = made["apply_order_updates"]
+    return made
 
 
 PARTS_FOR_COUNTS = ("cat", "prod", "cust", "addr", "sale", "ret", "led")

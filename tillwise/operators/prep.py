@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tillwise import model
 from tillwise.functions.clock import ts
 from tillwise.plans.skew import HOT_ROWS, numbered
+from tillwise.sources.merge import located, merge
 
 
 def with_category_level(df: DataFrame) -> DataFrame:
@@ -110,6 +111,24 @@ UPDATABLE = ("OrderDate", "OrderStatus", "PaymentStatus", "TrackingNumber",
              "ExpectedDeliveryDate", "ActualDeliveryDate", "CreatedDate")
 
 
+def merge_order_updates(
+    spark: SparkSession, path: str, updates: DataFrame, *, partition: str, place: Column
+) -> list:
+    """:func:`apply_order_updates` in the partitioned table at ``path``; gives the partitions written.
+
+    Orders are found by their key and date only; an update of the date moves the order.
+    """
+    table = spark.read.parquet(path)
+    changed = [c for c in UPDATABLE if c in updates.columns]
+    found = located(table, updates.where(F.coalesce(*[F.col(c).cast("string") for c in changed]).isNotNull()),
+                    "OrderID", partition).select("OrderID", partition)
+    touched = [r[0] for r in found.select(partition).distinct().collect()]
+    rows = table.where(F.col(partition).isin(touched)).join(found.select("OrderID"), "OrderID", "left_semi")
+    renewed = apply_order_updates(rows, updates)
+    return merge(spark, path, renewed.select("OrderID", partition, *changed), key="OrderID",
+                 partition=partition, place=place)
+
+
 def apply_order_updates(orders: DataFrame, updates: DataFrame) -> DataFrame:
     """Orders with the known values of ``updates``, one row per OrderID, put in."""
     changed = [c for c in UPDATABLE if c in updates.columns]

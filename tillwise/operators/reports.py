@@ -107,6 +107,18 @@ def _sales_columns(average: str) -> list[Column]:
     ]
 
 
+def revenue_by_category(
+    store: Store, *, as_of: datetime, start: datetime | None = None, end: datetime | None = None
+) -> DataFrame:
+    """Quantity and revenue of each category that sold in the period."""
+    return (
+        _sold_lines(store, *_period(as_of, start, end))
+        .join(store.scan("product", "ProductID", "CategoryID"), "ProductID")
+        .groupBy("CategoryID")
+        .agg(F.sum("Quantity").alias("QuantitySold"), F.sum("Revenue").alias("TotalRevenue"))
+    )
+
+
 def sales_report_category(
     store: Store, *, as_of: datetime, start: datetime | None = None,
     end: datetime | None = None, category_id: int | None = None,

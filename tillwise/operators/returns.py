@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwise import model
@@ -15,6 +15,7 @@ from tillwise.operators.prep import with_hash_key
 from tillwise.plans.claims import TAKEN, settle_singles
 from tillwise.plans.skew import HOT_ROWS, per_key
 from tillwise.session import cut_lineage
+from tillwise.sources.merge import merge
 from tillwise.store import Store
 
 RETURNABLE = ("Delivered", "Shipped")
@@ -160,6 +161,21 @@ def _validated_in_total(
     ).select(*columns, "ErrorMessage", "ClosesOrder")
 
 
+def merge_closed_orders(
+    spark: SparkSession, path: str, checked: DataFrame, *, as_of: datetime, partition: str, place: Column
+) -> list:
+    """Close the orders that ``checked`` (of :func:`validate_returns`) closes, in the table at ``path``.
+
+    ``place`` gives the partition of an order from its OrderDate, which the
+    checked requests carry: nothing but the partitions of closed orders is
+    read or written. Gives these.
+    """
+    closed = checked.where(F.col("ErrorMessage").isNull() & F.col("ClosesOrder")).select(
+        "OrderID", place.alias(partition), F.lit("Returned").alias("OrderStatus"),
+        ts(as_of).alias("ModifiedDate"))
+    return merge(spark, path, closed, key="OrderID", partition=partition, place=place)
+
+
 def process_returns(
     store: Store, requests: DataFrame, *, as_of: datetime, actor: str = "loader",
     corrected: bool = False, hot_rows: int = HOT_ROWS,

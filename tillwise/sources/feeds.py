@@ -106,6 +106,13 @@ def order_updates(store: Store) -> DataFrame:
     )
 
 
+def nested_categories(store: Store) -> Store:
+    """The store with categories up to six deep, two that are above each other, and one below those."""
+    return store.replacing(category=store.scan("category").withColumn("ParentCategoryID", F.expr("""
+        CASE WHEN CategoryID IN (59, 60) THEN 119 - CategoryID WHEN CategoryID = 1000 THEN 60
+             WHEN CategoryID > 25 THEN CategoryID - 10 WHEN CategoryID > 5 THEN CategoryID - 15 END""")))
+
+
 def customer_changes(store: Store) -> DataFrame:
     """Every customer with a new name or number, and as many new customers."""
     old = store.scan("customer")

@@ -6,14 +6,18 @@ written over when a batch is run again after a failure: a batch counts once.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from tillwise import model
 from tillwise.functions.clock import NTZ
 from tillwise.functions.values import or_zero
 from tillwise.operators.audit import alerts_of, order_audit_of
@@ -67,19 +71,6 @@ def _snapshot_due(batch_id: int) -> bool:
     return (batch_id + 1) % SNAPSHOT_EVERY == 0
 
 
-def _batches(spark: SparkSession, path: str) -> int:
-    """The number of the batch after the last one written below ``path``."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
-    names = [f.getPath().getName() for f in found]
-    return 1 + max((int(n.partition("=")[2]) for n in names if n.startswith(f"{BATCH}=")), default=-1)
-
-
-def _written(spark: SparkSession, path: str) -> DataFrame | None:
-    """All that counts below ``path``: the last snapshot and the batches after it."""
-    return _history(spark, path, _batches(spark, path))
-
-
 def _instant(local: Column) -> Column:
     """A zone-free time as the instant it names in UTC, whatever the session's zone."""
     days = F.datediff(F.to_date(local), F.lit("1970-01-01").cast("date"))
@@ -130,6 +121,35 @@ def sales_metrics(spark: SparkSession, target: str) -> DataFrame:
     )
 
 
+def _net_per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Movements added up per product where they are read: a common product is a row of each task."""
+    parts, schema = [], None
+    for batch in batches:
+        schema = batch.schema
+        net = pa.Table.from_batches([batch]).group_by("ProductID").aggregate([("Quantity", "sum")])
+        parts.append(net.rename_columns([c.replace("_sum", "") for c in net.column_names]))
+        if len(parts) == 64:
+            parts = [_net(parts)]
+    if schema is not None:
+        yield from _net(parts).select(["ProductID", "Quantity"]).cast(schema).to_batches()
+
+
+def _net(parts: list[pa.Table]) -> pa.Table:
+    net = pa.concat_tables([p.select(["ProductID", "Quantity"]) for p in parts]).group_by("ProductID").aggregate(
+        [("Quantity", "sum")])
+    return net.rename_columns([c.replace("_sum", "") for c in net.column_names])
+
+
+def _net_and_before(
+    key: tuple, parts: Iterator[pd.DataFrame], state: GroupState
+) -> Iterator[pd.DataFrame]:
+    """What a batch moves of a product, and all that came before; the state is their sum."""
+    net = int(sum(int(part["Quantity"].sum()) for part in parts))
+    before = state.get[0] if state.exists else 0
+    state.update((before + net,))
+    yield pd.DataFrame({"ProductID": [key[0]], "Net": [net], "Before": [before]})
+
+
 def stream_stock_ledger(
     moves: DataFrame, products: DataFrame, target: str, *, as_of: datetime,
     available_now: bool = True,
@@ -139,43 +159,53 @@ def stream_stock_ledger(
     ``moves`` has ProductID and Quantity. A batch adds up its movements per
     product before they are shuffled, so a product with most of the movements
     costs no more than another, and changes the stock of the products it
-    touches: a row of ``ledger`` each. Alerts compare the stock before and
-    after a batch, as a table trigger compares it before and after a statement.
-    A stock below zero is kept and listed, since the goods are gone already,
-    and alerts like any other that falls to its level.
+    touches: a row of ``ledger`` each. What was moved before is kept per product
+    in the stream's own state, which a batch that runs again finds as it was.
+    Movements of unknown products, null ones too, are ``rejects``, with what was
+    rejected of the product before; they count once the product is known.
+    Alerts compare the stock before and after a batch, as a table trigger
+    compares it before and after a statement. A stock below zero is kept and
+    listed, since the goods are gone already, and alerts like any other that
+    falls to its level.
     """
+    kind = moves.schema["ProductID"].dataType.simpleString()
+    stated = (
+        moves.select("ProductID", F.col("Quantity").cast("long").alias("Quantity"))
+        .mapInArrow(_net_per_task, f"ProductID {kind}, Quantity long")
+        .groupBy("ProductID")
+        .applyInPandasWithState(
+            _net_and_before, f"ProductID {kind}, Net long, Before long", "Total long", "update",
+            GroupStateTimeout.NoTimeout)
+    )
+    levels = products.select(
+        F.col("ProductID").alias("KnownID"), F.col("StockQuantity").cast("long").alias("FirstStock"),
+        "ReorderLevel")
+
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        net = batch.groupBy("ProductID").agg(F.sum("Quantity").cast("long").alias("Net"))
-        _write(net, f"{target}/net", batch_id)
-        fresh = spark.read.parquet(f"{target}/net/{BATCH}={batch_id}")
-        base = products.select(
-            "ProductID", F.col("StockQuantity").cast("long").alias("OldStock"), "ReorderLevel",
-        ).join(fresh, "ProductID").withColumn("OldLevel", F.col("ReorderLevel"))
-        earlier = _summed(_history(spark, f"{target}/net", batch_id))
-        if earlier is not None:
-            base = base.join(earlier.withColumnRenamed("Net", "Before"), "ProductID", "left").withColumn(
-                "OldStock", F.col("OldStock") + or_zero(F.col("Before")))
-        moved = base.withColumn("StockQuantity", F.col("OldStock") + F.col("Net"))
+        # Written once: the state is run through for the first reader only.
+        _write(batch, f"{target}/net", batch_id)
+        fresh = spark.read.schema(batch.schema).parquet(f"{target}/net/{BATCH}={batch_id}")
+        held = fresh.join(levels, fresh["ProductID"] == levels["KnownID"], "left")
+        moved = held.where(F.col("KnownID").isNotNull()).select(
+            "ProductID", "Net", "ReorderLevel", (F.col("FirstStock") + F.col("Before")).alias("OldStock"),
+            (F.col("FirstStock") + F.col("Before") + F.col("Net")).alias("StockQuantity"),
+            F.col("ReorderLevel").alias("OldLevel"))
         _write(moved.select("ProductID", F.col("Net").alias("Quantity"), F.col("OldStock").alias("PreviousStock"),
                             F.col("StockQuantity").alias("NewStock")), f"{target}/ledger", batch_id)
+        _write(held.where(F.col("KnownID").isNull()).select(
+            "ProductID", F.col("Net").alias("Quantity"), F.col("Before").alias("RejectedBefore"),
+            F.lit(model.ADJUSTMENT_REJECTS["product"]).alias("ErrorMessage")), f"{target}/rejects", batch_id)
         _write(alerts_of(moved, as_of=as_of), f"{target}/alerts", batch_id)
         _write(moved.where("StockQuantity < 0").select("ProductID", "StockQuantity"), f"{target}/negative", batch_id)
-        if _snapshot_due(batch_id):
-            _write(_summed(_history(spark, f"{target}/net", batch_id + 1)),
-                   f"{target}/net_snapshot", batch_id)
 
-    return _start(moves, step, f"{target}/checkpoint", "append", available_now)
-
-
-def _summed(history: DataFrame | None) -> DataFrame | None:
-    return None if history is None else history.groupBy("ProductID").agg(
-        F.sum("Net").alias("Net"))
+    return _start(stated, step, f"{target}/checkpoint", "update", available_now)
 
 
 def stock_levels(spark: SparkSession, products: DataFrame, target: str) -> DataFrame:
-    """Stock of every product after the batches written so far."""
-    net = _summed(_written(spark, f"{target}/net"))
+    """Stock of every product after the batches finished so far, from the stream's state."""
+    net = spark.read.format("statestore").load(f"{target}/checkpoint").select(
+        F.col("key.*"), F.col("value.groupState.Total").alias("Net")).where("ProductID IS NOT NULL")
     return products.select("ProductID", "StockQuantity", "ReorderLevel").join(
         net, "ProductID", "left"
     ).select(
@@ -185,6 +215,11 @@ def stock_levels(spark: SparkSession, products: DataFrame, target: str) -> DataF
     )
 
 
+def stock_rejects(spark: SparkSession, target: str) -> DataFrame:
+    """Movements of products nobody knows, by batch and product."""
+    return spark.read.parquet(f"{target}/rejects").drop(BATCH)
+
+
 def stock_ledger(spark: SparkSession, target: str) -> DataFrame:
     """What each batch did to the stock of each product it touched."""
     return spark.read.parquet(f"{target}/ledger").drop(BATCH)
