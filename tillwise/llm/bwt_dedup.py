@@ -74,27 +74,28 @@ def transform(pieces: list[bytes], most: int) -> tuple[np.ndarray, np.ndarray, n
     small = np.uint8 if most < 256 else np.int32
     symbol, lcp = before[0].copy(), np.zeros(m, dtype=small)
     entry = np.arange(m, dtype=np.int32)
-    where = np.empty((rounds + 1) * m, dtype=np.int32)
-    where[:m] = newest = np.arange(m)
+    newest = np.arange(m)
+    # Of each suffix but the empty ones, by their order: the place of its first symbol in the transform.
+    source = np.zeros(0, dtype=np.int64)
     begun = np.zeros(257, dtype=np.int64)  # suffixes by first symbol, counted one symbol up
     for j in range(1, rounds + 1):
         who = np.flatnonzero(length >= j)
         first, at = before[j - 1, who], newest[who]
-        order = np.lexsort((at, first))
+        order = np.argsort(first.astype(np.int64) << 32 | at)
         who, first, at = who[order], first[order], at[order]
-        # Suffixes with one first symbol stand in the order of their symbol's places: search there
-        # how many of them come before, and which places are the next on both sides.
-        low = block = m + np.cumsum(begun)[first]
-        high = end = low + begun[first.astype(np.int64) + 1]
-        for _ in range(int((high - low).max(initial=0)).bit_length()):
-            middle = np.minimum((low + high) >> 1, len(entry) - 1)
-            before_it = (where[entry[middle] - m] < at) & (low < high)
-            low, high = np.where(before_it, middle + 1, low), np.where(before_it, high, np.minimum(middle, high))
+        # Suffixes with one first symbol stand in the order of their symbol's places: how many of them
+        # come before is where the place belongs among those.
+        begin = m + np.cumsum(begun)
+        block, end = begin[first], begin[first] + begun[first.astype(np.int64) + 1]
+        low = block.copy()
+        cut = np.append(np.flatnonzero(np.diff(first, prepend=first[0] + 1)), len(first)).tolist()
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            low[a:b] += source[block[a] - m:end[a] - m].searchsorted(at[a:b])
         place = low + np.arange(len(who))
         beside = first[1:] == first[:-1]
-        left = np.where(low > block, where[entry[low - 1] - m], -1)
+        left = np.where(low > block, source[low - 1 - m] if len(source) else -1, -1)
         left[1:] = np.maximum(left[1:], np.where(beside, at[:-1], -1))
-        right = np.where(low < end, where[entry[np.minimum(low, len(entry) - 1)] - m], -1)
+        right = np.where(low < end, source[np.minimum(low - m, len(source) - 1)] if len(source) else -1, -1)
         # Common prefixes: of the suffix with the one before, and of an old one that comes right after it.
         after = right >= 0
         after[:-1] &= ~(beside & (at[1:] < right[:-1]))
@@ -108,7 +109,8 @@ def transform(pieces: list[bytes], most: int) -> tuple[np.ndarray, np.ndarray, n
         symbol = _merged(kept, place, symbol, before[j, who])
         lcp = _merged(kept, place, lcp, own)
         entry = _merged(kept, place, entry, j * m + who)
-        where[entry] = np.arange(len(entry), dtype=np.int32)
+        moved = np.flatnonzero(kept)
+        source = _merged(kept[m:], place - m, moved.take(source, mode="clip"), moved[at])
         newest[who] = place
         begun[1:] += np.bincount(first, minlength=256)
     return symbol, lcp, entry % m if m else entry, entry // m if m else entry
