@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillwise import model
@@ -14,11 +14,13 @@ from tillwise.operators.audit import job_trail
 from tillwise.operators.prep import with_hash_key
 from tillwise.plans.claims import TAKEN, settle_singles
 from tillwise.plans.skew import HOT_ROWS, per_key
-from tillwise.session import cut_lineage
+from tillwise.session import cut_lineage, kept_together
 from tillwise.sources.merge import merge
 from tillwise.store import Store
 
 RETURNABLE = ("Delivered", "Shipped")
+# Requests for one line that are tried one after another within its rows.
+IN_ROW = 1000
 
 
 def _ordered(store: Store, requests: DataFrame) -> DataFrame:
@@ -26,8 +28,10 @@ def _ordered(store: Store, requests: DataFrame) -> DataFrame:
 
     With several lines of one product the one with the lowest key is returned.
     A line is open if no approved return covers it yet. ``Unequal`` counts
-    approved returns below the line they are for.
+    approved returns below the line they are for. ``OrderOpen``,
+    ``OrderUnequal`` and ``Bought`` cover the whole order.
     """
+    order = Window.partitionBy("OrderID")
     asked = requests.select("OrderID").distinct()
     lines = store.scan(
         "order_detail", "OrderDetailID", "OrderID", "ProductID", "Quantity", "UnitPrice"
@@ -53,6 +57,11 @@ def _ordered(store: Store, requests: DataFrame) -> DataFrame:
             F.coalesce(F.col("LeastApproved") < F.col("MostQuantity"), F.lit(False))
             .cast("int").alias("Unequal"),
         )
+        .withColumns({
+            "OrderOpen": F.sum("Open").over(order),
+            "OrderUnequal": F.sum("Unequal").over(order),
+            "Bought": F.sum("AllQuantity").over(order),
+        })
     )
 
 
@@ -63,7 +72,9 @@ def _reject(checks: dict[str, Column]) -> Column:
     ])
 
 
-def validate_returns(store: Store, requests: DataFrame, *, corrected: bool = False) -> DataFrame:
+def validate_returns(
+    store: Store, requests: DataFrame, *, corrected: bool = False, in_row: int = IN_ROW
+) -> DataFrame:
     """Each request with its order, refund and the first thing wrong with it.
 
     Requests have ReturnID, RequestedAt, OrderID, ProductID, ReturnQuantity,
@@ -73,18 +84,17 @@ def validate_returns(store: Store, requests: DataFrame, *, corrected: bool = Fal
     A single return that leaves no line of its order open closes the order, and
     later requests for it are refused. Earlier returns are neither added up nor
     held against the quantity; ``corrected`` does both.
+
+    Everything a request is held against belongs to its order: requests, lines
+    and returns are brought together by OrderID once, and the result is written.
     """
-    ordered = _ordered(store, requests)
-    per_order = ordered.groupBy("OrderID").agg(
-        F.sum("Open").alias("OrderOpen"), F.sum("Unequal").alias("OrderUnequal"))
     orders = store.scan("sales_order", "OrderID", "CustomerID", "OrderDate", "OrderStatus")
     quantity = F.col("ReturnQuantity")
     joined = (
         requests
         .join(orders.join(requests.select("OrderID").distinct(), "OrderID", "left_semi"),
               "OrderID", "left")
-        .join(ordered, ["OrderID", "ProductID"], "left")
-        .join(per_order, "OrderID", "left")
+        .join(_ordered(store, requests), ["OrderID", "ProductID"], "left")
         .withColumn("RefundAmount", F.coalesce(
             money(F.col("RefundAmount")), money(quantity * F.col("UnitPrice"))))
     )
@@ -95,70 +105,127 @@ def validate_returns(store: Store, requests: DataFrame, *, corrected: bool = Fal
     }
     columns = [*requests.columns, "CustomerID", "OrderDate"]
     if corrected:
-        return _validated_in_total(store, joined, checks, columns)
-    joined = cut_lineage(joined.withColumn("ErrorMessage", _reject(checks)))
+        return _validated_in_total(store, requests, joined, checks, columns, in_row)
+    joined = joined.withColumn("ErrorMessage", _reject(checks))
     closes = (
         F.col("ErrorMessage").isNull()
         & (F.col("OrderOpen") == F.col("Open")) & (F.col("OrderUnequal") == 0)
         & (quantity >= F.col("MostQuantity"))
     )
     at = F.struct("RequestedAt", "ReturnID")
-    closing = joined.where(closes).groupBy("OrderID").agg(F.min(at).alias("ClosedBy"))
     late = at > F.col("ClosedBy")
     unfound = F.col("ErrorMessage") == model.RETURN_REJECTS["line"]
-    return joined.join(closing, "OrderID", "left").withColumns({
+    checked = joined.withColumn(
+        "ClosedBy", F.min(F.when(closes, at)).over(Window.partitionBy("OrderID"))
+    ).withColumns({
         "ErrorMessage": F.when(
             late & ~F.coalesce(unfound, F.lit(False)), model.RETURN_REJECTS["status"]
         ).otherwise(F.col("ErrorMessage")),
         "ClosesOrder": F.coalesce(F.col("ClosedBy") == at, F.lit(False)),
     }).select(*columns, "ErrorMessage", "ClosesOrder")
+    with kept_together(store.spark):
+        return cut_lineage(checked)
+
+
+def _refused_of_line(turns: Column, room: Column) -> Column:
+    """ReturnIDs refused when the requests of a line are tried in turn."""
+    return F.aggregate(
+        turns,
+        F.struct(room.cast("long").alias("room"), F.array().cast("array<string>").alias("gone")),
+        lambda so_far, turn: F.when(
+            turn["ReturnQuantity"] > so_far["room"],
+            F.struct(so_far["room"].alias("room"),
+                     F.array_append(so_far["gone"], text(turn["ReturnID"])).alias("gone")),
+        ).otherwise(F.struct((so_far["room"] - turn["ReturnQuantity"]).alias("room"),
+                             so_far["gone"].alias("gone"))),
+        lambda end: end["gone"])
 
 
 def _validated_in_total(
-    store: Store, joined: DataFrame, checks: dict[str, Column], columns: list[str]
+    store: Store, requests: DataFrame, joined: DataFrame, checks: dict[str, Column],
+    columns: list[str], in_row: int,
 ) -> DataFrame:
-    """All returns of a line together stay within what was ordered."""
-    line = F.to_json(F.array(F.col("OrderID").cast("string"), F.col("ProductID").cast("string")))
+    """All returns of a line together stay within what was ordered.
+
+    Lines asked for more than is left are tried request by request: within
+    their rows up to ``in_row`` requests, else (``Later``) with their whole
+    order by :func:`settle_singles`.
+    """
     earlier = (
         store.scan("product_return", "OrderID", "ProductID", "ReturnQuantity", "ReturnStatus")
         .where("ReturnStatus IN ('Approved', 'Processed')")
+        .join(requests.select("OrderID").distinct(), "OrderID", "left_semi")
         .groupBy("OrderID", "ProductID").agg(F.sum("ReturnQuantity").alias("Earlier"))
     )
+    before = earlier.groupBy("OrderID").agg(F.sum("Earlier").alias("Before"))
     checks = {**checks, "quantity": F.col("ReturnQuantity") <= 0}
-    known = cut_lineage(
-        joined.join(earlier, ["OrderID", "ProductID"], "left")
-        .withColumns({"Earlier": or_zero(F.col("Earlier")), "Line": line,
-                      "ErrorMessage": _reject(checks)})
+    line, order = Window.partitionBy("OrderID", "ProductID"), Window.partitionBy("OrderID")
+    sound, at = F.col("ErrorMessage").isNull(), F.struct("RequestedAt", "ReturnID")
+    few = F.col("Short") & (F.col("Claims") <= in_row)
+    refused = few & F.array_contains(
+        _refused_of_line(F.col("Turns"), F.col("Room")), text(F.col("ReturnID")))
+    taken = sound & ~F.col("Refused")
+    known = (
+        joined.join(earlier, ["OrderID", "ProductID"], "left").join(before, "OrderID", "left")
+        .withColumns({"Room": F.col("AllQuantity") - or_zero(F.col("Earlier")),
+                      "Before": or_zero(F.col("Before")), "ErrorMessage": _reject(checks)})
+        .withColumns({
+            "Short": sound & (or_zero(
+                F.sum(F.when(sound, F.col("ReturnQuantity"))).over(line)) > F.col("Room")),
+            "Claims": F.count(F.when(sound, 1)).over(line),
+        })
+        .withColumn("Turns", F.sort_array(F.collect_list(
+            F.when(few, F.struct("RequestedAt", "ReturnID", "ReturnQuantity"))).over(line)))
+        .withColumns({
+            "Refused": F.coalesce(refused, F.lit(False)),
+            "Later": F.bool_or(F.col("Short") & (F.col("Claims") > in_row)).over(order),
+        })
+        .withColumns({
+            "Taken": F.sum(F.when(taken, F.col("ReturnQuantity"))).over(order),
+            "Last": F.max(F.when(taken, at)).over(order),
+        })
+        .withColumn("Full", F.col("Taken") + F.col("Before") >= F.col("Bought"))
+        .withColumns({
+            "ErrorMessage": F.when(
+                ~F.col("Later") & F.col("Refused"), model.RETURN_REJECTS["quantity"]
+            ).otherwise(F.col("ErrorMessage")),
+            "ClosesOrder": F.coalesce(F.col("Full") & (at == F.col("Last")), F.lit(False)),
+        })
     )
+    told = [*columns, "ErrorMessage", "ClosesOrder"]
+    with kept_together(store.spark):
+        known = cut_lineage(known.select(*told, "Later", *[
+            F.when(F.col("Later"), F.col(c)).alias(c) for c in ("Room", "Bought", "Before")]))
+    later = known.where("Later")
+    if later.isEmpty():
+        return known.select(*told)
+    return known.where("NOT Later").select(*told).unionByName(_settled(later).select(*told))
+
+
+def _settled(known: DataFrame) -> DataFrame:
+    """Checked requests of whole orders with their lines settled."""
+    line = F.to_json(F.array(F.col("OrderID").cast("string"), F.col("ProductID").cast("string")))
+    known = known.withColumn("Line", line)
     sound = known.where(F.col("ErrorMessage").isNull())
-    stock = sound.select(
-        "Line", (F.col("AllQuantity") - F.col("Earlier")).alias("Stock")).distinct()
     outcomes = settle_singles(
         sound.select("ReturnID", "RequestedAt", "Line", (-F.col("ReturnQuantity")).alias("Change")),
-        stock, unit="ReturnID", key="Line", order=["RequestedAt"])
+        sound.select("Line", F.col("Room").alias("Stock")).distinct(),
+        unit="ReturnID", key="Line", order=["RequestedAt"])
     decided = known.join(outcomes, "ReturnID", "left").withColumn(
         "ErrorMessage",
         F.when(F.col("Outcome") != TAKEN, model.RETURN_REJECTS["quantity"])
         .otherwise(F.col("ErrorMessage")))
-    taken = decided.where(F.col("Outcome") == TAKEN).groupBy("OrderID").agg(
-        F.sum("ReturnQuantity").alias("Taken"),
-        F.max(F.struct("RequestedAt", "ReturnID")).alias("Last"))
-    orders = known.select("OrderID").distinct()
-    bought = (
-        store.scan("order_detail", "OrderID", "Quantity").join(orders, "OrderID", "left_semi")
-        .groupBy("OrderID").agg(F.sum("Quantity").alias("Bought"))
-    )
-    before = earlier.join(orders, "OrderID", "left_semi").groupBy("OrderID").agg(
-        F.sum("Earlier").alias("Before"))
     full = (
-        taken.join(bought, "OrderID").join(before, "OrderID", "left")
-        .where(F.col("Taken") + or_zero(F.col("Before")) >= F.col("Bought"))
+        decided.where(F.col("Outcome") == TAKEN).groupBy("OrderID").agg(
+            F.sum("ReturnQuantity").alias("Taken"), F.max("Before").alias("Most"),
+            F.max("Bought").alias("All"),
+            F.max(F.struct("RequestedAt", "ReturnID")).alias("Last"))
+        .where(F.col("Taken") + F.col("Most") >= F.col("All"))
         .select("OrderID", "Last")
     )
     return decided.join(full, "OrderID", "left").withColumn(
         "ClosesOrder", F.coalesce(
-            F.struct("RequestedAt", "ReturnID") == F.col("Last"), F.lit(False))
-    ).select(*columns, "ErrorMessage", "ClosesOrder")
+            F.struct("RequestedAt", "ReturnID") == F.col("Last"), F.lit(False)))
 
 
 def merge_closed_orders(
@@ -186,7 +253,7 @@ def process_returns(
     ``products`` with the new stock, ``orders`` with the closed ones, and
     ``rejects``.
     """
-    checked = cut_lineage(validate_returns(store, requests, corrected=corrected))
+    checked = validate_returns(store, requests, corrected=corrected)
     sound = checked.where(F.col("ErrorMessage").isNull())
     returns = sound.select(
         "ReturnID", "OrderID", "OrderDate", "ProductID", "CustomerID", "ReturnQuantity",
