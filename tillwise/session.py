@@ -15,12 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 # Runtime settings every job relies on: joins that meet a hot key are split by
 # adaptive execution, also where the split costs one more shuffle. Shuffles start
 # out in many partitions and are merged up to 8 MB, compressed, for a task: what a
-# task sorts follows that size and not the input, and stays in its memory.
+# task sorts follows that size and not the input, and stays in its memory. So does
+# what a task reads of a file.
 RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "2000",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
+    "spark.sql.files.maxPartitionBytes": "32m",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
