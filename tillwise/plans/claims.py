@@ -42,18 +42,17 @@ def _contended(
 ) -> DataFrame:
     """Lines on keys whose stock may not cover all draws, one per unit and key.
 
-    Any other key refuses nobody, whatever happens elsewhere.
+    Any other key refuses nobody, whatever happens elsewhere. Draws are added up
+    line by line before any line moves; only lines on keys left over are grouped.
     """
-    per_unit = (
-        lines.groupBy(unit, *order, key).agg(F.sum("Change").cast("long").alias("Change"))
-    )
     short = (
-        per_unit.groupBy(key).agg(F.sum(F.least("Change", F.lit(0))).alias("Draws"))
+        lines.groupBy(key).agg(F.sum(F.least("Change", F.lit(0))).cast("long").alias("Draws"))
         .join(stock.select(key, "Stock"), key, "left")
         .select(key, F.coalesce("Stock", F.lit(0)).cast("long").alias("Base"), "Draws")
         .where(F.col("Base") + F.col("Draws") < 0).drop("Draws")
     )
-    return per_unit.join(short, key)
+    return lines.join(short, key).groupBy(unit, *order, key).agg(
+        F.sum("Change").cast("long").alias("Change"), F.first("Base").alias("Base"))
 
 
 def _groups(undecided: DataFrame, unit: str, key: str) -> DataFrame:
