@@ -155,3 +155,21 @@ def test_sales_day_in_another_zone_and_late_rows(spark, tmp_path):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert got == {(datetime(2024, 3, 10), 1), (datetime(2024, 3, 11), 1)}
     assert late == 2
+
+
+def test_stock_state_is_kept_without_python(spark, tmp_path):
+    """No call of Python per product; products without a known quantity are touched, too, and read as zero."""
+    products = spark.createDataFrame([(1, 100, 30), (2, 100, 30)], "ProductID int, StockQuantity int, ReorderLevel int")
+    target, folder = str(tmp_path / "out"), str(tmp_path / "in")
+    for rows in ([(1, None), (2, 5), (2, -5), (None, 3)], [(1, -80), (None, None), (9, -1)], [(1, 2), (None, 4)]):
+        moves = spark.createDataFrame(rows, "ProductID int, Quantity int")
+        moves.coalesce(1).write.mode("append").parquet(folder)
+        query = jobs.stream_stock_ledger(
+            jobs.file_stream(spark, folder, moves.schema), products, target, as_of=AS_OF)
+        query.awaitTermination()
+        assert "Python" not in query._jsq.explainInternal(False) and "Pandas" not in query._jsq.explainInternal(False)
+    assert sorted(map(tuple, jobs.stock_ledger(spark, target).collect())) == [
+        (1, -80, 100, 20), (1, 0, 100, 100), (1, 2, 20, 22), (2, 0, 100, 100)]
+    rejects = jobs.stock_rejects(spark, target).select("ProductID", "Quantity", "RejectedBefore")
+    assert {tuple(r) for r in rejects.collect()} == {(None, 3, 0), (None, 0, 3), (9, -1, 0), (None, 4, 3)}
+    assert {tuple(r) for r in jobs.stock_levels(spark, products, target).collect()} == {(1, 22, 30), (2, 100, 30)}

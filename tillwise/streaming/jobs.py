@@ -6,15 +6,12 @@ written over when a batch is run again after a failure: a batch counts once.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from datetime import datetime
 
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from tillwise import model
@@ -121,33 +118,13 @@ def sales_metrics(spark: SparkSession, target: str) -> DataFrame:
     )
 
 
-def _net_per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Movements added up per product where they are read: a common product is a row of each task."""
-    parts, schema = [], None
-    for batch in batches:
-        schema = batch.schema
-        net = pa.Table.from_batches([batch]).group_by("ProductID").aggregate([("Quantity", "sum")])
-        parts.append(net.rename_columns([c.replace("_sum", "") for c in net.column_names]))
-        if len(parts) == 64:
-            parts = [_net(parts)]
-    if schema is not None:
-        yield from _net(parts).select(["ProductID", "Quantity"]).cast(schema).to_batches()
-
-
-def _net(parts: list[pa.Table]) -> pa.Table:
-    net = pa.concat_tables([p.select(["ProductID", "Quantity"]) for p in parts]).group_by("ProductID").aggregate(
-        [("Quantity", "sum")])
-    return net.rename_columns([c.replace("_sum", "") for c in net.column_names])
-
-
-def _net_and_before(
-    key: tuple, parts: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    """What a batch moves of a product, and all that came before; the state is their sum."""
-    net = int(sum(int(part["Quantity"].sum()) for part in parts))
-    before = state.get[0] if state.exists else 0
-    state.update((before + net,))
-    yield pd.DataFrame({"ProductID": [key[0]], "Net": [net], "Before": [before]})
+def _totals(spark: SparkSession, target: str, batch_id: int | None = None) -> DataFrame:
+    """ProductID and Moved: all movements up to that batch, or the last one finished, from the stream's state."""
+    reader = spark.read.format("statestore")
+    if batch_id is not None:
+        reader = reader.option("batchId", batch_id)
+    state = reader.load(f"{target}/checkpoint")
+    return state.select("key.ProductID", F.col(f"value.{state.schema['value'].dataType.names[0]}").alias("Moved"))
 
 
 def stream_stock_ledger(
@@ -159,8 +136,10 @@ def stream_stock_ledger(
     ``moves`` has ProductID and Quantity. A batch adds up its movements per
     product before they are shuffled, so a product with most of the movements
     costs no more than another, and changes the stock of the products it
-    touches: a row of ``ledger`` each. What was moved before is kept per product
-    in the stream's own state, which a batch that runs again finds as it was.
+    touches: a row of ``ledger`` each. What was moved in all is kept per product
+    in the stream's own state, a sum that Spark keeps without Python; what was
+    moved before a batch is that state as the batch before left it, read whole,
+    so that a batch that runs again finds it as it was.
     Movements of unknown products, null ones too, are ``rejects``, with what was
     rejected of the product before; they count once the product is known.
     Alerts compare the stock before and after a batch, as a table trigger
@@ -168,15 +147,7 @@ def stream_stock_ledger(
     listed, since the goods are gone already, and alerts like any other that
     falls to its level.
     """
-    kind = moves.schema["ProductID"].dataType.simpleString()
-    stated = (
-        moves.select("ProductID", F.col("Quantity").cast("long").alias("Quantity"))
-        .mapInArrow(_net_per_task, f"ProductID {kind}, Quantity long")
-        .groupBy("ProductID")
-        .applyInPandasWithState(
-            _net_and_before, f"ProductID {kind}, Net long, Before long", "Total long", "update",
-            GroupStateTimeout.NoTimeout)
-    )
+    stated = moves.groupBy("ProductID").agg(F.sum(F.col("Quantity").cast("long")).alias("Moved"))
     levels = products.select(
         F.col("ProductID").alias("KnownID"), F.col("StockQuantity").cast("long").alias("FirstStock"),
         "ReorderLevel")
@@ -184,9 +155,17 @@ def stream_stock_ledger(
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         # Written once: the state is run through for the first reader only.
-        _write(batch, f"{target}/net", batch_id)
-        fresh = spark.read.schema(batch.schema).parquet(f"{target}/net/{BATCH}={batch_id}")
-        held = fresh.join(levels, fresh["ProductID"] == levels["KnownID"], "left")
+        _write(batch, f"{target}/totals", batch_id)
+        fresh = spark.read.schema(batch.schema).parquet(f"{target}/totals/{BATCH}={batch_id}")
+        if batch_id:
+            was = _totals(spark, target, batch_id - 1).toDF("_id", "_moved")
+            fresh = fresh.join(was, fresh["ProductID"].eqNullSafe(was["_id"]), "left")
+        before = or_zero(F.col("_moved")) if batch_id else F.lit(0).cast("long")
+        net = fresh.select("ProductID", (or_zero(F.col("Moved")) - before).alias("Net"), before.alias("Before"))
+        # The tables below are picked from the written join.
+        joined = net.join(levels, net["ProductID"] == levels["KnownID"], "left")
+        _write(joined, f"{target}/net", batch_id)
+        held = spark.read.schema(joined.schema).parquet(f"{target}/net/{BATCH}={batch_id}")
         moved = held.where(F.col("KnownID").isNotNull()).select(
             "ProductID", "Net", "ReorderLevel", (F.col("FirstStock") + F.col("Before")).alias("OldStock"),
             (F.col("FirstStock") + F.col("Before") + F.col("Net")).alias("StockQuantity"),
@@ -204,8 +183,7 @@ def stream_stock_ledger(
 
 def stock_levels(spark: SparkSession, products: DataFrame, target: str) -> DataFrame:
     """Stock of every product after the batches finished so far, from the stream's state."""
-    net = spark.read.format("statestore").load(f"{target}/checkpoint").select(
-        F.col("key.*"), F.col("value.groupState.Total").alias("Net")).where("ProductID IS NOT NULL")
+    net = _totals(spark, target).where("ProductID IS NOT NULL").withColumnRenamed("Moved", "Net")
     return products.select("ProductID", "StockQuantity", "ReorderLevel").join(
         net, "ProductID", "left"
     ).select(
