@@ -286,3 +286,31 @@ def test_publish_switches_all_frames_at_once(spark, tmp_path):
     publish({"a": spark.range(7), "b": spark.range(8)}, target)
     assert published(spark, target, "a").count() == 7 and published(spark, target, "b").count() == 8
     assert first.count() == 3
+
+
+def test_constraints_read_a_table_once_and_count_keys_not_hashes(empty, spark, monkeypatch):
+    rows = [(1, "a", None), (2, "a", None), (2, "b", 1), (None, "c", 9), (None, "c", 9), (3, None, 3)]
+    table = spark.createDataFrame([
+        (i, name, None, parent, 0, True, AS_OF, AS_OF) for i, name, parent in rows], model.schema("category"))
+    read = []
+
+    def build(_wanted):
+        read.append(1)
+        return table
+
+    store = empty.replacing(category=build)
+
+    def counted():
+        read.clear()
+        made = quality.constraint_violations(store, ["category"])
+        return {r.ConstraintName: r.ViolatingRows for r in made.collect() if r.ViolatingRows}, len(read)
+
+    want = {"CategoryID_required": 2, "CategoryName_required": 1, "not_own_parent": 1, "primary_key": 4,
+            "category_name": 4, "parent_category": 2}
+    # Once for all rules, once more for each of the two whose keys came twice.
+    assert counted() == (want, 3)
+    monkeypatch.setattr(quality, "_hash", lambda columns: F.lit(7).cast("long"))
+    assert counted() == (want, 3)
+    table = table.where("CategoryID = 1")
+    monkeypatch.undo()
+    assert counted() == ({}, 1)

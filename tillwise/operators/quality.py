@@ -139,74 +139,101 @@ def fix_data_integrity(
     return {"orders": fixed, "products": repaired, "audit": audit}
 
 
+def _exact(columns: Sequence[str]) -> Column:
+    """The values as one text that no other values have."""
+    texts = [F.col(c).cast("string") for c in columns]
+    return F.concat(*[F.coalesce(F.concat(F.octet_length(x).cast("string"), F.lit(":"), x), F.lit("-")) for x in texts])
+
+
+def _hash(columns: Sequence[str]) -> Column:
+    return F.xxhash64(*[F.col(c).cast("string") for c in columns])
+
+
 def constraint_violations(store: Store, tables: Iterable[str] | None = None) -> DataFrame:
     """Rows breaking each rule of the model: required, check, unique and reference.
 
-    Keys and required columns must be known. One pass per table counts those
-    and the checks; another lists, for each of its rows, the keys its unique
-    rules and references speak of, and counts equal ones before they meet, so
-    many equal keys cost one row. All references are held against all listed
-    keys in one join.
+    Keys and required columns must be known. One pass per table lists, for each
+    of its rows, the numbers of the rules it breaks, and the keys its unique
+    rules and references speak of; equal entries are counted before they meet,
+    so many equal keys cost one row. A unique key goes as its hash: only where
+    a hash came twice are the keys themselves read again, and counted whole.
+    References and their targets go as themselves, and meet in one join.
     """
-    counts: list[DataFrame] = []
-    listed: list[DataFrame] = []
-    rules: list[tuple[str, str]] = []
     chosen = [t for t in (model.TABLES if tables is None else tables) if t in store]
     references = {
         t: {n: r for n, r in model.REFERENCES.get(t, {}).items() if r[1] in store} for t in chosen}
-    targets = {(r[1], r[2]) for named in references.values() for r in named.values()}
-
-    def key(columns: Sequence[str]) -> Column:
-        return F.to_json(F.array(*[F.col(c).cast("string") for c in columns]))
-
-    def entry(kind: str, name: str, columns: Sequence[str], of: str = "") -> Column:
-        return F.struct(F.lit(kind).alias("Kind"), F.lit(name).alias("ConstraintName"),
-                        F.lit(of).alias("Of"), key(columns).alias("Key"))
+    targets = sorted({(r[1], r[2]) for named in references.values() for r in named.values()})
+    target_of = {target: -n for n, target in enumerate(targets, 1)}
+    rules: list[tuple[str, str]] = []
+    unique: dict[int, tuple[str, Sequence[str]]] = {}
+    refers: dict[int, int] = {}
 
-    def name_of(table: str, columns: Sequence[str]) -> str:
-        return f"{table}({','.join(columns)})"
+    def numbered(table: str, name: str) -> int:
+        rules.append((table, name))
+        return len(rules) - 1
 
+    parts = []
     for table in sorted({*chosen, *(t for t, _ in targets)}):
-        entries, used = [], set()
+        breaks: dict[int, Column] = {}
+        entries: list[Column] = []
+        hashed: dict[int, Sequence[str]] = {}
+        whole: dict[int, Sequence[str]] = {}
         if table in chosen:
-            required = dict.fromkeys((*model.PRIMARY_KEYS[table], *model.REQUIRED[table]))
-            checks = model.CHECKS.get(table, {})
-            found = store.scan(table).agg(
-                *[F.count_if(F.col(c).isNull()).alias(f"{c}_required") for c in required],
-                *[F.count_if(~F.coalesce(F.expr(rule), F.lit(True))).alias(name)
-                  for name, rule in checks.items()])
-            counts.append(found.select(F.inline(F.array(*[
-                F.struct(F.lit(table).alias("TableName"), F.lit(name).alias("ConstraintName"),
-                         F.col(f"`{name}`").cast("long").alias("ViolatingRows"))
-                for name in found.columns]))))
+            for column in dict.fromkeys((*model.PRIMARY_KEYS[table], *model.REQUIRED[table])):
+                breaks[numbered(table, f"{column}_required")] = F.col(column).isNull()
+            for name, rule in model.CHECKS.get(table, {}).items():
+                breaks[numbered(table, name)] = ~F.coalesce(F.expr(rule), F.lit(True))
             for name, columns in {"primary_key": model.PRIMARY_KEYS[table],
                                   **model.UNIQUE_KEYS.get(table, {})}.items():
-                entries.append(entry("unique", name, columns))
-                used |= set(columns)
-                rules.append((table, name))
+                number = numbered(table, name)
+                hashed[number], unique[number] = columns, (table, columns)
+                entries.append(F.lit(number))
             for name, (own, other, theirs) in references[table].items():
+                number = numbered(table, name)
+                whole[number], refers[number] = own, target_of[other, theirs]
                 known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in own])
-                entries.append(F.when(known, entry("reference", name, own, name_of(other, theirs))))
-                used |= set(own)
-                rules.append((table, name))
-        for other, theirs in sorted(targets):
+                entries.append(F.when(known, number))
+        for (other, theirs), number in target_of.items():
             if other == table:
-                entries.append(entry("target", "", theirs, name_of(table, theirs)))
-                used |= set(theirs)
-        rows = store.scan(table, *sorted(used)).select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
-        listed.append(rows.groupBy("e").agg(F.count("*").alias("n")).select(
-            F.lit(table).alias("TableName"), "e.*", "n"))
-    keys = cut_lineage(reduce(DataFrame.unionByName, listed))
-    target = keys.where("Kind = 'target'").select(F.col("Of").alias("_of"), F.col("Key").alias("_key"))
-    used_keys = keys.where("Kind = 'reference'")
-    broken = keys.where("Kind = 'unique' AND n > 1").select("TableName", "ConstraintName", "n").union(
-        used_keys.join(target, (F.col("Of") == F.col("_of")) & (F.col("Key") == F.col("_key")), "left_anti")
-        .select("TableName", "ConstraintName", "n"))
-    sums = broken.groupBy("TableName", "ConstraintName").agg(F.sum("n").alias("Broken"))
-    all_rules = store.spark.createDataFrame(rules, "TableName string, ConstraintName string")
-    counts.append(all_rules.join(sums, ["TableName", "ConstraintName"], "left").select(
-        "TableName", "ConstraintName", F.coalesce("Broken", F.lit(0)).cast("long").alias("ViolatingRows")))
-    return reduce(DataFrame.unionByName, counts)
+                whole[number] = theirs
+                entries.append(F.lit(number))
+
+        def of_rule(made: dict[int, Column], otherwise: Column) -> Column:
+            return reduce(lambda rest, n: F.when(F.col("Rule") == n, made[n]).otherwise(rest), made, otherwise)
+
+        told = F.array(*entries)
+        if breaks:
+            told = F.when(reduce(lambda a, b: a | b, breaks.values()), F.array(
+                *[F.when(b, number) for number, b in breaks.items()], *entries)).otherwise(told)
+        parts.append(
+            store.scan(table).withColumn("Rule", F.explode(told)).where("Rule IS NOT NULL").select(
+                "Rule",
+                of_rule({n: _hash(c) for n, c in hashed.items()}, F.lit(0).cast("long")).alias("Hash"),
+                of_rule({n: _exact(c) for n, c in whole.items()}, F.lit("")).alias("Key")))
+    # A hash that came once is of a key that came once: nothing to keep.
+    once = F.col("Rule").isin(list(unique)) & (F.col("n") == 1)
+    found = cut_lineage(
+        reduce(DataFrame.union, parts).groupBy("Rule", "Hash", "Key").agg(F.count("*").alias("n")).where(~once))
+    of_target = F.create_map(*[F.lit(x) for pair in refers.items() for x in pair]) if refers else None
+    broken = [found.where(~F.col("Rule").isin([*unique, *refers, *target_of.values()])).select("Rule", "n")]
+    if refers:
+        target = found.where("Rule < 0").select(F.col("Rule").alias("_of"), F.col("Key").alias("_key"))
+        used = found.where(F.col("Rule").isin(list(refers))).withColumn("Of", of_target[F.col("Rule")])
+        broken.append(used.join(
+            target, (F.col("Of") == F.col("_of")) & (F.col("Key") == F.col("_key")), "left_anti").select("Rule", "n"))
+    twice = found.where(F.col("Rule").isin(list(unique)))
+    for number in sorted(r.Rule for r in twice.select("Rule").distinct().collect()):
+        table, columns = unique[number]
+        hashes = twice.where(F.col("Rule") == number).select("Hash")
+        keys = store.scan(table, *columns).select(_hash(columns).alias("Hash"), _exact(columns).alias("Key"))
+        broken.append(
+            keys.join(hashes, "Hash", "left_semi").groupBy("Key").agg(F.count("*").alias("n")).where("n > 1")
+            .select(F.lit(number).alias("Rule"), "n"))
+    sums = reduce(DataFrame.union, broken).groupBy("Rule").agg(F.sum("n").alias("Broken"))
+    all_rules = store.spark.createDataFrame(
+        [(n, *rule) for n, rule in enumerate(rules)], "Rule int, TableName string, ConstraintName string")
+    return all_rules.join(sums, "Rule", "left").select(
+        "TableName", "ConstraintName", F.coalesce("Broken", F.lit(0)).cast("long").alias("ViolatingRows"))
 
 
 def recompute_order_totals(
