@@ -17,6 +17,8 @@ from tillwise.session import cut_lineage
 
 # Rows of one key that a task may take, whatever the size of the table.
 HOT_ROWS = 1_000_000
+# Keys are counted in so many buckets first.
+BUCKETS = 4096
 
 
 def hot_keys(
@@ -31,8 +33,14 @@ def hot_keys(
     """
     if (df if bound is None else bound).count() <= hot_rows:
         return None
+    # A hot key fills its bucket: of all other buckets no key has to be counted.
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
+    full = [r[0] for r in df.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_rows"))
+            .where(F.col("_rows") > hot_rows).collect()]
+    if not full:
+        return None
     found = cut_lineage(
-        df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > hot_rows))
+        df.where(bucket.isin(full)).groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > hot_rows))
     return None if found.isEmpty() else found
 
 

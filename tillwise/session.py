@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -96,6 +97,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of frames that are gone.
+
+    It does so when the driver's memory is cleared, which a large driver seldom
+    needs: a job of several steps would keep the files of all of them.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def kept_together(spark: SparkSession) -> Iterator[None]:
     """Inside, a join on several columns leaves rows where one of these has put them already.
